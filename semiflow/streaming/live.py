@@ -1,0 +1,76 @@
+"""A push graph: nodes take deltas, keep totals, and push their changes to those connected to them."""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterable
+from dataclasses import dataclass, field
+
+from pyspark.sql import Column, DataFrame
+
+from semiflow.streaming import zset
+from semiflow.streaming.incremental import JoinView, NotIncremental
+
+
+@dataclass
+class Node:
+    work: Callable[..., DataFrame]
+    out: list[Callable] = field(default_factory=list)
+
+    def connect(self, *others: Node | Callable) -> Node:
+        self.out += [o.push if isinstance(o, Node) else o for o in others]
+        return self
+
+    def push(self, *delta) -> None:
+        change = self.work(*delta)
+        for f in self.out:
+            f(change)
+
+
+def join_node(on: tuple[Column, Column]) -> Node:
+    state: list[JoinView] = []
+
+    def work(dl: DataFrame, dr: DataFrame) -> DataFrame:
+        if not state:
+            state.append(JoinView(dl.limit(0), dr.limit(0), on))
+        return state[0].step(dl, dr)
+
+    return Node(work)
+
+
+def filter_node(p: Column) -> Node:
+    return Node(lambda d: zset.where(d, p))
+
+
+def map_node(*exprs: Column) -> Node:
+    return Node(lambda d: zset.project(d, *exprs))
+
+
+class Total(Node):
+    """A sink that holds a running weighted sum, and every value it had."""
+
+    def __init__(self, f: Column):
+        super().__init__(lambda d: zset.total(d, f))
+        self.values: list[int] = []
+        self.out.append(lambda d: self.values.append((self.values[-1] if self.values else 0) + d.first()[0]))
+
+
+def drive(node: Node, deltas: Iterable[tuple]) -> None:
+    for d in deltas:
+        node.push(*d)
+
+
+def build(stages: list[tuple], join: tuple[Column, Column] | None = None) -> tuple[Node, Node]:
+    """First and last node of a chain of stages; anything but joins, filters, maps and sums of weights is refused."""
+    nodes = [join_node(join)] if join else []
+    for s in stages:
+        if s[0] == "filter":
+            nodes.append(filter_node(s[1]))
+        elif s[0] == "map":
+            nodes.append(map_node(*s[1]))
+        elif s[0] == "sum":
+            nodes.append(Total(s[1]))
+        else:
+            raise NotIncremental(s[0])
+    for a, b in zip(nodes, nodes[1:]):
+        a.connect(b)
+    return nodes[0], nodes[-1]
