@@ -1,0 +1,83 @@
+import hashlib
+import random
+import re
+from itertools import product
+
+import numpy as np
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from semiflow.llm import pii
+
+
+def brute(text):
+    out = []
+    for m in pii.EMAIL.finditer(text):
+        out.append(("email", m.start(), m.end()))
+    for m in pii.IP.finditer(text):
+        if all(int(p) <= 255 for p in m.group().split(".")):
+            out.append(("ip", m.start(), m.end()))
+    for m in pii.CARD.finditer(text):
+        n = re.sub("[ -]", "", m.group())
+        if 14 <= len(n) <= 19 and pii.luhn(n):
+            out.append(("card", m.start(), m.end()))
+    for m in pii.PHONE.finditer(text):
+        if 10 <= sum(c in "0123456789" for c in m.group()) <= 15:
+            out.append(("phone", m.start(), m.end()))
+    return out
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet="a1.@+- ()09é\n%x4", max_size=60))
+def test_patterns_match_plain_search(text):
+    assert sorted(pii.pattern_spans(text)) == sorted(brute(text))
+
+
+def test_patterns_on_the_usual():
+    t = "mail bo.b@x-y.org, 10.0.0.1 300.1.1.1 4111 1111 1111 1111 +1 (555) 123-4567."
+    assert [k for k, *_ in sorted(pii.pattern_spans(t), key=lambda s: s[1])] == ["email", "ip", "card", "phone"]
+
+
+def test_viterbi_matches_brute_force():
+    rng = np.random.default_rng(3)
+    e, t = rng.normal(size=(4, 4, len(pii.LABELS))), rng.normal(size=(len(pii.LABELS),) * 2) + pii.forbidden()
+    ok = [i for i, x in enumerate(pii.LABELS) if x[0] != "I"]
+    for s, path in enumerate(pii.viterbi(e, t)):
+        value = lambda p: sum(e[s, i, k] for i, k in enumerate(p)) + sum(t[a, b] for a, b in zip(p, p[1:]))
+        best = max(value((a, *r)) for a in ok for r in product(range(len(pii.LABELS)), repeat=3))
+        assert abs(value(path) - best) < 1e-9
+
+
+def test_field_finds_held_out_rows():
+    field = pii.default_field()
+    of = field.emitter()
+    rows = pii.labelled_table(200, seed=99)
+    got = field.labels([t for t, _ in rows], of)
+    right = sum((a == np.array(b)).all() for a, (_, b) in zip(got, rows))
+    assert right >= 180
+
+
+def test_field_adds_and_leaves_alone():
+    of = pii.default_field().emitter()
+    texts = ["Call (555) 123-4567 now", "bob (at) mail (dot) com wrote", "on 2024-01-02 at 12:30 for $12.50, version 3.", "", "plain words only"]
+    got = pii.all_spans(texts, pii.default_field(), of)
+    assert [[k for k, *_ in more] for _, more in got] == [["phone"], ["email"], [], [], []]
+
+
+def test_long_texts_are_quick_and_whole():
+    r = random.Random(2)
+    t = " ".join(r.choice(["word", "12", "a1b", "x@y"]) for _ in range(60_000)) + " z@end.org"
+    base, _ = pii.all_spans([t], pii.default_field(), pii.default_field().emitter())[0]
+    assert ("email", len(t) - 9, len(t)) in base
+
+
+def test_find_and_redact(spark):
+    rows = [(1, "a@b.com +1 (988) 555-2485", "x"), (2, None, "x"), (2, "", "x"), (None, "nothing", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, spans string")
+    got = {(r.doc_id, r.spans): r for r in pii.find(docs).collect()}
+    r = got[1, "email:0:7,phone:8:25"]
+    assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == (1, 0, 0, 1) and r.base_sha256 == hashlib.sha256(b"email:0:7,phone:8:25").hexdigest()
+    assert got[2, ""].base_sha256 == hashlib.sha256(b"").hexdigest() and len(got) == 3
+    out = [x.t for x in docs.select(pii.redact()("text").alias("t")).collect()]
+    assert out == ["[EMAIL] [PHONE]", None, "", "nothing"]
+    assert pii.find(docs.limit(0)).collect() == []
