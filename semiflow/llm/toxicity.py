@@ -3,8 +3,8 @@
 A text is a bag of units: its words (A-Z and other letters lowered, signs and digits inside removed, so that inserted
 characters go), the parts between signs, and runs of single letters joined. The kernel of two units is the cosine of
 their weighted counts of three-character subsequences; a subsequence that spans s characters more than three weighs
-DECAY ** s, up to REACH characters. Landmarks are the units that together cover the sample's toxic texts while staying
-out of the others, and clean units near them; the linear machine is fitted on the landmarks' Nyström features. A
+DECAY ** s, up to REACH characters. Landmarks are the units that together cover the sample's toxic texts, several times
+where they can, while staying out of the others (near copies count as one), and clean units near them; the linear machine is fitted on the landmarks' Nyström features. A
 text's value is that of its highest unit, put on a scale of probability by a logistic fit.
 
 As the machine is linear in the landmarks' feature vectors, it folds into one weight for each subsequence: scoring is a
@@ -17,7 +17,9 @@ overlapping parts.
 
 from __future__ import annotations
 
+import heapq
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -31,6 +33,8 @@ from semiflow.llm.common import by_length, held_out
 
 DECAY, REACH, LONGEST, KEPT = 0.6, 5, 24, 300_000
 SIZE = 64**3
+#: Landmarks that are to be found for each toxic text of the sample.
+COVER = 3
 #: Offsets of a subsequence's second and third character, and its weight.
 SHAPES = [(a, b, DECAY ** (b - 2)) for b in range(2, REACH) for a in range(1, b)]
 #: ASCII without letters and blanks.
@@ -182,8 +186,23 @@ class Model:
         return score
 
 
-def fit(texts: list[str], toxic: list[int], clean_weight: float = 1.0, candidates: int = 300, most: int = 64, near: float = 0.6) -> Model:
-    """clean_weight: how many clean texts of the corpus each clean text of the sample stands for."""
+def copies_weight(docs: list[set[str]]) -> np.ndarray:
+    """1 / size of the group of near copies that each text is in: those whose rare units share the least two hashes.
+
+    Texts without rare units are copies if they are equal.
+    """
+    seen = Counter(u for d in docs for u in d)
+    rare = [[u for u in d if seen[u] <= max(2, len(docs) // 20)] for d in docs]
+    keys = [tuple(heapq.nsmallest(2, (zlib.crc32(u.encode()) for u in r))) if r else tuple(sorted(d)) for r, d in zip(rare, docs)]
+    size = Counter(keys)
+    return np.array([1 / size[k] for k in keys])
+
+
+def fit(texts: list[str], toxic: list[int], clean_weight: float = 1.0, candidates: int = 300, most: int = 64, near: float = 0.6, same: float = 0.8) -> Model:
+    """clean_weight: how many clean texts of the corpus each clean text of the sample stands for.
+
+    Units at `near` or more stand for each other; a clean unit at `same` or more speaks against a landmark.
+    """
     y = np.array(toxic)
     if not len(y) or y.min() == y.max():
         return Model(None)
@@ -201,13 +220,13 @@ def fit(texts: list[str], toxic: list[int], clean_weight: float = 1.0, candidate
     base = features(chosen, columns)
     gram = (base @ base.T).astype(float)
     clean = sorted(outside)
-    like = np.concatenate([features(clean[i : i + 4000], columns) @ base.T for i in range(0, len(clean), 4000)]) if clean else np.zeros((0, len(chosen)))
+    like = np.concatenate([(features(clean[i : i + 1000], columns) @ base.T).astype(np.float16) for i in range(0, len(clean), 1000)]) if clean else np.zeros((0, len(chosen)))
 
     # Cover the toxic texts: by landmark, the texts that hold a unit near it.
     place = {u: i for i, u in enumerate(chosen)}
     holds = np.zeros((len(docs), len(chosen)), bool)
     clean_at = {u: i for i, u in enumerate(clean)}
-    near_clean = like >= near
+    near_clean = like >= same
     touched = {u for u, i in clean_at.items() if near_clean[i].any()}
     for d, u in enumerate(docs):
         for x in u & place.keys():
@@ -215,14 +234,18 @@ def fit(texts: list[str], toxic: list[int], clean_weight: float = 1.0, candidate
         if not y[d]:
             for x in u & touched:
                 holds[d] |= near_clean[clean_at[x]]
-    left, wrong, picked = holds[y == 1].copy(), holds[y == 0].sum(0), []
+    times, picked = np.zeros(n_in), []
+    weight, against = (copies_weight([u for u, t in zip(docs, y) if t == k]) for k in (1, 0))
+    wrong = against @ holds[y == 0]
+    inside_of = holds[y == 1]
     while len(picked) < most:
-        gain = left.sum(0) - 3.0 * wrong
+        gain = (weight * (times < COVER)) @ inside_of - 3.0 * wrong
+        gain[picked] = -1
         k = int(np.argmax(gain))
-        if gain[k] < 2:
+        if gain[k] < 2 - 1e-6:
             break
         picked.append(k)
-        left[left[:, k]] = False
+        times += inside_of[:, k]
     if not picked:
         picked = [0]
 
@@ -254,7 +277,7 @@ def fit(texts: list[str], toxic: list[int], clean_weight: float = 1.0, candidate
     return model
 
 
-def learn(docs: DataFrame, labels: DataFrame, train: Column, per_class: int = 1500) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, train: Column, per_class: int = 1200) -> Model:
     """Fitted on at most about per_class labelled texts of each class, chosen by a hash of their id, for which train (a column of doc_id) is true."""
     marks = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & train).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sizes = {t: n for t, n in marks.groupBy("toxic").count().collect()}
