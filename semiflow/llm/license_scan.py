@@ -74,6 +74,8 @@ class Scanner:
     def fuzzy(self, s: str) -> list[tuple[str, int, int, int]]:
         """(label, start, end, edits) of the notices; windows that touch are searched as one, for all notices in it."""
         windows: dict[int, list[list[int]]] = {}
+        if not self.notices:
+            return []
         for end, (n, where) in self.seeds.iter(s):
             for i, at in where:
                 _, m, k, _ = self.notices[i]
