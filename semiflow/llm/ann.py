@@ -42,7 +42,7 @@ def neighbour_graph(x: np.ndarray, k: int) -> np.ndarray:
 def balanced_parts(x: np.ndarray, graph: np.ndarray, parts: int, seed: int = 7, rounds: int = 15, slack: float = 1.1) -> np.ndarray:
     """A part for each vertex; none has more than slack times the mean."""
     rng = np.random.default_rng(seed)
-    n, room = len(x), int(np.ceil(slack * len(x) / parts))
+    n, room = len(x), int(np.ceil(slack * len(x) / parts - 1e-9))
     centre = x[rng.choice(n, parts, replace=False)]
     unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
     part = np.zeros(n, np.int64)
