@@ -154,7 +154,7 @@ class Model:
                 add(new)
             out = []
             for ws in each:
-                if not ws:
+                if not any(c.isalpha() for w in ws for c in w):
                     out.append(("und", 0.0))
                     continue
                 x = sums[np.fromiter(map(place.__getitem__, ws), np.int64, len(ws))].sum(0)

@@ -60,6 +60,7 @@ def write(pages: DataFrame, path: str, least_bytes: int = 0, archive_bytes: int
     """Writes archives of about archive_bytes of payload. pages: page_id, url, html. Payloads under least_bytes are all responses."""
     html = F.coalesce("html", F.lit(""))
     x = pages.select("page_id", "url", html.alias("html"), F.octet_length(html).cast("long").alias("size"), F.sha1(html.cast("binary")).alias("digest"))
+    mean = x.agg(F.avg("size")).first()[0] or 1
     known = x.filter(F.col("size") >= least_bytes).groupBy("digest", "size").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).filter("n > 1").drop("n")
     x = x.join(known, ["digest", "size"], "left")
     older = F.col("last").isNotNull() & (F.coalesce(F.col("page_id") < F.col("last"), F.lit(True)))
@@ -74,7 +75,7 @@ def write(pages: DataFrame, path: str, least_bytes: int = 0, archive_bytes: int
                 out.append(record(i, url or "", ts, h, refers, base64.b32encode(bytes.fromhex(digest)).decode(), int(size)))
             yield pd.DataFrame({"value": out})
 
-    x.mapInPandas(build, "value string").write.option("lineSep", SEP).option("compression", "gzip").option("maxRecordsPerFile", max(1, archive_bytes // 4096)).text(path)
+    x.mapInPandas(build, "value string").write.option("lineSep", SEP).option("compression", "gzip").option("maxRecordsPerFile", max(1, int(archive_bytes / mean))).text(path)
 
 
 def records(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:

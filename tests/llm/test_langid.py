@@ -45,8 +45,8 @@ def test_held_out_accuracy(spark):
 
 def test_edges(spark):
     s = "doc_id long, text string, lang string, score int"
-    rows = [(1, None, "en", 1), (2, "123 !?", "en", 1), (3, "", "en", 1), (4, "the cat", "en", 1), (6, "der hund", "de", 1), (None, "der hund" * 5000, None, 1), (7, "le chien", None, 1)]
+    rows = [(1, None, "en", 1), (2, "123 !?", "en", 1), (3, "", "en", 1), (8, "½ ² Ⅷ", "en", 1), (4, "the cat", "en", 1), (6, "der hund", "de", 1), (None, "der hund" * 5000, None, 1), (7, "le chien", None, 1)]
     got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(spark.createDataFrame(rows, s)).collect()}
-    assert got[1] == got[2] == got[3] == ("und", 0.0) and got[None][0] in ("en", "de")
+    assert got[1] == got[2] == got[3] == got[8] == ("und", 0.0) and got[None][0] in ("en", "de")
     assert langid.identify(spark.createDataFrame([], s)).collect() == []
     assert [r.lang_pred for r in langid.identify(spark.createDataFrame([(1, "words", None, 1)], s)).collect()] == ["und"]
