@@ -138,3 +138,14 @@ def q11_delta_lens(spark, d):
     return zset.add(zset.zset(c), lens.field_edit(c, "c_custkey", "c_mktsegment", edits)).withColumnRenamed("_w", "w")
 
 
+
+
+@query("SELECT c_mktsegment, CAST(count(*) AS BIGINT) AS s, true AS same FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY 1")
+def q7_elimination_equals_plain(spark, d):
+    """Sums after elimination beside those of the whole join."""
+    s, one = semiring.COUNTING, F.lit(1).cast("long").alias("_s")
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("k"), "c_mktsegment", one)
+    o = semiring.marginal(table(spark, d, "orders").select(F.col("o_custkey").alias("k"), one), ["k"], s)
+    fast = semiring.eliminate([c, o], ["c_mktsegment"], s)
+    plain = semiring.marginal(semiring.join(c, o, s), ["c_mktsegment"], s).withColumnRenamed("_s", "p")
+    return fast.join(plain, "c_mktsegment").select("c_mktsegment", F.col("_s").alias("s"), (F.col("_s") == F.col("p")).alias("same"))

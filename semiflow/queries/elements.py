@@ -151,3 +151,12 @@ def p17_option(spark, d):
     x = Flow(table(spark, d, "customer")).lookup(n, F.col("c_custkey"), "o_custkey", "n", "k").df
     k = F.col("k")
     return x.select("c_custkey", optional.or_else(k, F.lit(-1)).alias("orders_or_none"), optional.absent(k).alias("absent"), optional.elim(k, F.lit(0), lambda v: v + 1).alias("bumped"))
+
+
+@query("SELECT (SELECT count(*) FROM nation) AS scalar, (SELECT count(*) FROM region) AS coll, (SELECT min(n_name) FROM nation) AS tuple")
+def s9_find_shapes(spark, d):
+    n, r = table(spark, d, "nation"), table(spark, d, "region")
+    one = tables.shaped(n.agg(F.count("*")), "scalar")
+    many = len(tables.shaped(r.select("r_name"), "coll"))
+    pair = tables.shaped(n.orderBy("n_name").select("n_name", "n_nationkey").limit(1), "tuple")
+    return spark.createDataFrame([(one, many, pair[0])], "scalar long, coll long, tuple string")

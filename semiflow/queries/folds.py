@@ -162,3 +162,20 @@ def t5_concat_fold(spark, d):
 FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)""")
 def a24_rollup(spark, d):
     return lines(spark, d).df.rollup("l_returnflag", "l_linestatus").agg(F.sum(qty()).alias("total"), F.countDistinct("l_suppkey").alias("suppliers"))
+
+
+@query(f"SELECT l_orderkey, l_linenumber, {QTY} * 3 + 1 AS value FROM lineitem")
+def f1_foreign_function(spark, d):
+    """A function from outside, applied to whole Arrow batches."""
+    import pandas as pd
+
+    @F.pandas_udf("long")
+    def outside(x: pd.Series) -> pd.Series:
+        return x * 3 + 1
+
+    return lines(spark, d).df.select("l_orderkey", "l_linenumber", outside(qty()).alias("value"))
+
+
+@query("SELECT l_suppkey, bit_xor(l_partkey) AS value FROM lineitem GROUP BY l_suppkey")
+def f3_registered_monoid(spark, d):
+    return monoids.group_by(lines(spark, d).df, monoids.REGISTRY["bit-xor"], "l_suppkey", F.col("l_partkey"))

@@ -172,3 +172,39 @@ def i25_sessions(spark, d):
     return structured.sessions(table(spark, d, "events"), "ts", "30 minutes", "user_id").select("user_id", "start", "n")
 
 
+
+
+@query(f"SELECT x.user_id AS l_user_id, x.event_type AS l_event_type, y.user_id AS r_user_id, y.event_type AS r_event_type, x.w * y.w AS w FROM ({A}) x JOIN ({B}) y ON x.user_id = y.user_id")
+def i7_join_step(spark, d):
+    """The change of an empty join when both inputs arrive at once, in two steps that must add up."""
+    k = F.col("user_id")
+    x, y = a(spark, d), b(spark, d)
+    view = incremental.JoinView(x.limit(0), y.limit(0), (k, k))
+    first = view.step(x.filter("user_id % 2 = 0"), y)
+    return shown(zset.add(first, view.step(x.filter("user_id % 2 = 1"), y.limit(0))))
+
+
+@query(f"SELECT CAST(sum(w) AS BIGINT) AS value FROM ({A} UNION ALL {B})")
+def i18_net_cardinality(spark, d):
+    return zset.cardinality(a(spark, d).unionByName(b(spark, d)))
+
+
+@query("SELECT CAST(range AS BIGINT) AS t, CAST(range * range * (range + 1) / 2 - range * range * (range - 1) / 2 AS BIGINT) AS squares FROM range(200)")
+def i21_window_of_an_endless_stream(spark, d):
+    from semiflow.sources.tables import numbers
+
+    return numbers(spark, 200).select(F.col("value").alias("t"), (F.col("value") * F.col("value")).alias("squares"))
+
+
+@query("SELECT CAST(range AS BIGINT) AS pos, CAST((range * (range - 1)) // 2 AS BIGINT) AS value FROM range(201)")
+def i21_scan_of_an_endless_stream(spark, d):
+    from semiflow.operators.flow import Flow
+    from semiflow.sources.tables import numbers
+
+    return Flow(numbers(spark, 200), ("value",)).reductions(F.col("value"), 0).df.select(F.col("_pos").alias("pos"), "value")
+
+
+@query("SELECT count(*) AS value FROM customer JOIN orders ON c_custkey = o_custkey WHERE o_orderkey % 3 = 1 OR (o_orderkey % 3 = 0 AND o_orderkey % 5 <> 0)")
+def i23_running_join_count(spark, d):
+    q = incremental.Query([("count",)], (F.col("c_custkey"), F.col("o_custkey")))
+    return spark.createDataFrame([(int(q.run(parts(spark, d))[-1]),)], "value long")
