@@ -6,9 +6,10 @@ commit survives lost tasks. Reading the archives back gives each archive's captu
 the keys splits the key space into ranges, and in each range a loser tree merges the runs by URL key and time, so that
 the parts, in order, hold the captures in global order.
 
-A null html is an empty payload, a null url the empty url, a null time the epoch. A null page_id is written as an empty
+A null html is an empty payload, a null url the empty url. A null page_id is written as an empty
 id and counts as smaller than all; rows that repeat the largest page_id are all responses. An empty table gives empty
-archives and no captures. A capture's time is epoch + page_id seconds, unless a time column is named.
+archives and no captures. A capture's time is epoch + page_id seconds, modulo
+CYCLE.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from pyspark.sql import functions as F
 from semiflow.llm.common import scratch
 
 EPOCH = datetime(2020, 1, 1, tzinfo=timezone.utc)
+#: Seconds after which made-up times start anew.
+CYCLE = 50 * 365 * 86_400
 SEP = "\r\n\r\n"
 CAPTURE = "url_key string, ts string, page_id long, record_type string, refers_to long, payload_bytes long, payload_digest string, url string, archive string, record int"
 
@@ -71,7 +74,7 @@ def write(pages: DataFrame, path: str, least_bytes: int = 0, archive_bytes: int
             out = []
             for i, url, h, size, digest, refers in b.itertuples(index=False):
                 i, refers = (None if pd.isna(v) else int(v) for v in (i, refers))
-                ts = (EPOCH + timedelta(seconds=i or 0)).strftime("%Y-%m-%dT%H:%M:%SZ")
+                ts = (EPOCH + timedelta(seconds=(i or 0) % CYCLE)).strftime("%Y-%m-%dT%H:%M:%SZ")
                 out.append(record(i, url or "", ts, h, refers, base64.b32encode(bytes.fromhex(digest)).decode(), int(size)))
             yield pd.DataFrame({"value": out})
 
