@@ -6,10 +6,9 @@ commit survives lost tasks. Reading the archives back gives each archive's captu
 the keys splits the key space into ranges, and in each range a loser tree merges the runs by URL key and time, so that
 the parts, in order, hold the captures in global order.
 
-A null html is an empty payload, a null url the empty url. A null page_id is written as an empty
-id and counts as smaller than all; rows that repeat the largest page_id are all responses. An empty table gives empty
-archives and no captures. A capture's time is epoch + page_id seconds, modulo
-CYCLE.
+A null html is an empty payload, a null url the empty url. A null page_id is written as an empty id and counts as smaller
+than all; rows that repeat the largest page_id are all responses. An empty table gives empty archives and no captures.
+A capture's time is that of a named column (null: EPOCH), else EPOCH and page_id seconds, modulo CYCLE.
 """
 
 from __future__ import annotations
@@ -22,7 +21,7 @@ from datetime import datetime, timedelta, timezone
 from urllib.parse import urlsplit
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from semiflow.llm.common import scratch
@@ -59,22 +58,24 @@ def record(page_id: int | None, url: str, ts: str, payload: str, refers: int | N
     return "\r\n".join([*head, "Content-Type: text/html", f"Content-Length: {len(block.encode())}"]) + SEP + block
 
 
-def write(pages: DataFrame, path: str, least_bytes: int = 0, archive_bytes: int = 16_000_000) -> None:
+def write(pages: DataFrame, path: str, least_bytes: int = 0, archive_bytes: int = 16_000_000, time: str | None = None) -> None:
     """Writes archives of about archive_bytes of payload. pages: page_id, url, html. Payloads under least_bytes are all responses."""
     html = F.coalesce("html", F.lit(""))
-    x = pages.select("page_id", "url", html.alias("html"), F.octet_length(html).cast("long").alias("size"), F.sha1(html.cast("binary")).alias("digest"))
+    zero = int(EPOCH.timestamp())
+    secs = F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(CYCLE)) if time is None else F.coalesce(F.col(time).cast("timestamp").cast("long") - zero, F.lit(0))
+    x = pages.select("page_id", "url", secs.cast("long").alias("secs"), html.alias("html"), F.octet_length(html).cast("long").alias("size"), F.sha1(html.cast("binary")).alias("digest"))
     mean = x.agg(F.avg("size")).first()[0] or 1
     known = x.filter(F.col("size") >= least_bytes).groupBy("digest", "size").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).filter("n > 1").drop("n")
     x = x.join(known, ["digest", "size"], "left")
     older = F.col("last").isNotNull() & (F.coalesce(F.col("page_id") < F.col("last"), F.lit(True)))
-    x = x.select("page_id", "url", "html", "size", "digest", F.when(older, F.col("last")).alias("refers"))
+    x = x.select("page_id", "url", "secs", "html", "size", "digest", F.when(older, F.col("last")).alias("refers"))
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for i, url, h, size, digest, refers in b.itertuples(index=False):
+            for i, url, secs, h, size, digest, refers in b.itertuples(index=False):
                 i, refers = (None if pd.isna(v) else int(v) for v in (i, refers))
-                ts = (EPOCH + timedelta(seconds=(i or 0) % CYCLE)).strftime("%Y-%m-%dT%H:%M:%SZ")
+                ts = (EPOCH + timedelta(seconds=int(secs))).strftime("%Y-%m-%dT%H:%M:%SZ")
                 out.append(record(i, url or "", ts, h, refers, base64.b32encode(bytes.fromhex(digest)).decode(), int(size)))
             yield pd.DataFrame({"value": out})
 

@@ -49,5 +49,14 @@ def test_archives_are_warc(spark):
     assert head["WARC-Type"] == "response" and block == b"<b>" and head["Content-Length"] == "3"
 
 
+def test_times(spark):
+    at = scratch(spark, "warc")
+    df = spark.createDataFrame([(1, "a", "x", 1_600_000_000), (2, "b", "y", None)], "page_id long, url string, html string, s long").selectExpr("*", "timestamp_seconds(s) AS t")
+    warc.write(df, at, time="t")
+    assert {r.page_id: r.ts for r in warc.read(spark, at).collect()} == {1: "2020-09-13T12:26:40Z", 2: "2020-01-01T00:00:00Z"}
+    far = warc.archived(spark.createDataFrame([(10**15, "a", "x"), (-5, "b", "y")], "page_id long, url string, html string"))
+    assert all(r.ts.startswith("20") for r in far.collect())
+
+
 def test_keys():
     assert warc.url_key("HTTP://www.Ex.org:80/A?b=C") == "org,ex)/a?b=c" and warc.url_key("") == ")/"
