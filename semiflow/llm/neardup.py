@@ -8,10 +8,11 @@ similarity of the sets of shingles (as 32-bit hashes), at 0.8 or more, verifies
 the links.
 
 Texts with equal shingle sets are one class from the start and go on as one. In a bucket each is compared with the
-bucket's leader, not with every other; members of classes that are still apart get other leaders in further rounds, and
-at last each pair of members of different classes is compared, so that every colliding pair is linked or compared.
+bucket's leader, not with every other; then each pair of members of classes that are still apart is compared, if bounds
+on their similarity allow. So every colliding pair is in one class, compared, or shown to be no link: by an exact bound,
+or by signatures that agree in far too few components.
 
-Null and empty texts, and texts without words, are classes of their own; rows with one doc_id are one document; a null
+Null and empty texts, and texts without words, are classes of their own; rows with one doc_id are one document (that of the least text, if they differ); a null
 doc_id has a null class; an empty table gives no rows.
 """
 
@@ -27,6 +28,8 @@ from pyspark.sql import functions as F
 from semiflow.llm.common import cut, folded_bytes, mixed
 
 WORDS, LEAST, BANDS, ROWS = 5, 0.8, 30, 5
+#: Standard deviations by which an estimate from signatures may fall short of `least`: a link is lost once in 3 million.
+SHORT = 5.0
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 B = 0x100000001B3
 BI = pow(B, -1, 2**64)
@@ -93,11 +96,11 @@ def probminhash(ids: np.ndarray, weight: np.ndarray, doc: np.ndarray, docs: int,
 
 
 def sketches(texts: list[str], powers: Powers, bands: int, rows: int) -> tuple[np.ndarray, ...]:
-    """For each text with words: its place, two fingerprints of its shingle set, the number of shingles, band keys."""
+    """For each text with words: its place, two fingerprints of its shingle set, its signature in 16 bits each, band keys."""
     each = [np.unique(shingle_hashes(t, powers), return_counts=True) if t else (np.zeros(0, np.uint64), None) for t in texts]
     at = np.array([i for i, (s, _) in enumerate(each) if len(s)], np.int64)
     if not len(at):
-        return at, at, at, at, np.zeros((0, bands), np.int64)
+        return at, at, at, np.zeros((0, bands * rows), np.int16), np.zeros((0, bands), np.int64)
     n = np.array([len(each[i][0]) for i in at])
     ids = np.concatenate([each[i][0] for i in at])
     weight = 1 + np.log(np.concatenate([each[i][1] for i in at]))
@@ -109,25 +112,26 @@ def sketches(texts: list[str], powers: Powers, bands: int, rows: int) -> tuple[n
     for r in range(rows):
         key = mixed(key + GOLD) + sig[:, :, r]
     key = mixed(key + np.arange(bands, dtype=np.uint64) * GOLD).view(np.int64)
-    return at, one, two, n, key
+    short = (sig.reshape(len(at), -1) & np.uint64(0xFFFF)).astype(np.uint16).view(np.int16)
+    return at, one, two, short, key
 
 
 def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, one, two, keys) of each row; the last three are null where a text has no words."""
+    """(doc_id, one, two, keys, sig) of each row; all but the first are null where a text has no words."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         powers = Powers()
         for b in batches:
             for lo in range(0, len(b), 200):
                 x = b.iloc[lo : lo + 200]
-                at, one, two, _, key = sketches(list(x.text), powers, bands, rows)
+                at, one, two, sig, key = sketches(list(x.text), powers, bands, rows)
                 out = pd.DataFrame({"doc_id": x.doc_id.values, "one": pd.array([None] * len(x), "Int64"), "two": pd.array([None] * len(x), "Int64"), "keys": None})
                 out.loc[at, "one"], out.loc[at, "two"] = one, two
-                keys = np.empty(len(x), object)
-                keys[at] = list(key)
-                yield out.assign(keys=keys)
+                keys, sigs = np.empty(len(x), object), np.empty(len(x), object)
+                keys[at], sigs[at] = list(key), list(sig)
+                yield out.assign(keys=keys, sig=sigs)
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, one long, two long, keys array<long>")
+    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, one long, two long, keys array<long>, sig array<smallint>")
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
@@ -151,19 +155,25 @@ def verified(pairs: DataFrame, sets: DataFrame, least: float, per_copy: int = 20
     left = left.join(sets.withColumnRenamed("doc_id", "a").withColumnRenamed("shingles", "sa"), "a")
     x = left.join(right, ["b", "salt"])
     small, large = F.least(F.size("sa"), F.size("sb")), F.greatest(F.size("sa"), F.size("sb"))
-    x = x.filter(small >= large * least).withColumn("both", F.size(F.array_intersect("sa", "sb")))
-    return x.filter(F.col("both") >= F.lit(least) * (F.size("sa") + F.size("sb") - F.col("both"))).select("a", "b")
+    x = x.filter(small >= large * least - 1e-9).withColumn("both", F.size(F.array_intersect("sa", "sb")))
+    return x.filter(F.col("both") >= F.lit(least) * (F.size("sa") + F.size("sb") - F.col("both")) - 1e-9).select("a", "b")
+
+
+def packed(df: DataFrame, rows: int, name: str) -> DataFrame:
+    """df, of about so many narrow rows at most, written by tasks of some 100 000 rows each, but twelve at least."""
+    return cut(df.coalesce(max(12, rows // 100_000)), name)
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) of the edges' ends; label is the least node of the component. Labels spread and jump until none changes."""
     both = cut(edges.select("a", "b").union(edges.select("b", "a")).filter("a <> b").distinct(), "edges")
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("label")), "labels")
+    n = both.count()
+    labels = packed(both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("label")), n, "labels")
     while True:
         seen = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         step = labels.join(seen, "node").select("node", "label", F.least("label", "near").alias("low"))
         jump = labels.select(F.col("node").alias("low"), F.col("label").alias("root"))
-        new = cut(step.join(jump, "low").select("node", F.least("low", "root").alias("label"), (F.least("low", "root") < F.col("label")).alias("moved")), "labels")
+        new = packed(step.join(jump, "low").select("node", F.least("low", "root").alias("label"), (F.least("low", "root") < F.col("label")).alias("moved")), n, "labels")
         labels = new.select("node", "label")
         if new.filter("moved").isEmpty():
             return labels
@@ -176,44 +186,61 @@ def apart(members: DataFrame, labels: DataFrame) -> DataFrame:
     return x.join(mixed_, "band")
 
 
-def classes(docs: DataFrame, least: float = LEAST, bands: int = BANDS, rows: int = ROWS, rounds: int = 3) -> DataFrame:
+def rivals(left: DataFrame, sets: DataFrame, sigs: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) of members of one bucket but different classes that may be as alike as `least`; left is from apart().
+
+    A shingle that no member of another class has is in no intersection. With s and t shingles, of which c and d occur
+    in other classes, two texts are as alike as m / (s + t - m) at most, where m is the lesser of c and d: pairs below
+    the bound are left out, and no link is lost. So are pairs whose signatures agree in too few components, SHORT
+    standard deviations fewer than those of a pair at `least` do.
+    """
+    own = sets.join(left.select("doc_id", "class").distinct(), "doc_id")
+    each = own.select("doc_id", "class", F.explode("shingles").alias("s"))
+    common = each.groupBy("s").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo < hi").select("s")
+    shared = each.join(common, "s").groupBy("doc_id").agg(F.count("*").alias("shared"))
+    size = own.select("doc_id", F.size("shingles").alias("n")).join(shared, "doc_id")
+    marks = sigs.select("doc_id", "keys", "sig").join(left.select("doc_id").distinct(), "doc_id", "left_semi")
+    x = cut(left.join(size.filter(F.col("shared") >= F.col("n") * least - 1e-9).join(marks, "doc_id"), "doc_id"), "rivals")
+    a, b = x.alias("a"), x.alias("b")
+    m = F.least("a.shared", "b.shared")
+    near = m * (1 + least) >= (F.col("a.n") + F.col("b.n")) * least - 1e-6
+    many = F.size("a.sig")
+    agree = F.size(F.filter(F.zip_with("a.sig", "b.sig", lambda x, y: x == y), lambda e: e))
+    alike = agree >= many * least - SHORT * F.sqrt(many * least * (1 - least))
+    # Once for each pair: in the first of the bands that both are in.
+    once = F.col("a.band") == F.array_min(F.array_intersect("a.keys", "b.keys"))
+    pairs = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.class") < F.col("b.class")) & near & alike & once)
+    return pairs.select(F.greatest("a.doc_id", "b.doc_id").alias("a"), F.least("a.doc_id", "b.doc_id").alias("b"))
+
+
+def classes(docs: DataFrame, least: float = LEAST, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc_id, class_id), a row for each doc_id (and each row with none): class_id is the least doc_id of its class."""
     sigs = cut(signatures(docs, bands, rows), "signatures")
     known = sigs.filter(F.col("doc_id").isNotNull())
-    first = known.groupBy("doc_id").agg(F.min(F.struct("one", "two")).alias("f")).select("doc_id", "f.one", "f.two")
-    same = cut(first.filter("one is not null").groupBy("one", "two").agg(F.min("doc_id").alias("rep")), "same")
-    reps = same.select(F.col("rep").alias("doc_id"), "one", "two").join(known, ["doc_id", "one", "two"]).select("doc_id", F.explode("keys").alias("band")).distinct()
+    repeats = _repeats(known)
+    if repeats:
+        known = known.groupBy("doc_id").agg(F.min(F.struct("one", "two", "keys", "sig")).alias("m")).select("doc_id", "m.*")
+    same = cut(known.filter("one is not null").groupBy("one", "two").agg(F.min("doc_id").alias("rep")), "same")
+    reps = known.select("doc_id", "keys").join(same.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", F.explode("keys").alias("band"))
     led = reps.groupBy("band").agg(F.min("doc_id").alias("leader"), F.count("*").alias("n")).filter("n > 1").drop("n")
     members = cut(reps.join(led, "band"), "members")
-    pairs = cut(members.filter("doc_id <> leader").select(F.col("doc_id").alias("a"), F.col("leader").alias("b")).distinct(), "pairs")
     ids = members.select("doc_id").distinct()
     texts = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", "text").join(ids, "doc_id", "left_semi")
-    # Rows with one doc_id but several texts: the one that stands for them is the one whose fingerprint did.
-    sets = cut(shingle_sets(texts.groupBy("doc_id").agg(F.min("text").alias("text")) if _repeats(known) else texts), "sets")
-    edges = cut(verified(pairs, sets, least), "links")
-    labels = components(edges)
-    for r in range(rounds + 1):
-        left = cut(apart(members, labels), "apart")
-        if left.isEmpty():
-            break
-        if r < rounds:
-            order = F.xxhash64("doc_id", "band", F.lit(r))
-            lead = left.groupBy("band").agg(F.min(F.struct(order.alias("o"), F.col("doc_id").alias("b"), F.col("class").alias("c"))).alias("x")).select("band", "x.b", "x.c")
-            more = left.join(lead, "band").filter("class <> c").select(F.col("doc_id").alias("a"), "b")
-        else:
-            other = left.select("band", F.col("doc_id").alias("b"), F.col("class").alias("c"))
-            more = left.join(other, "band").filter("class < c").select(F.col("doc_id").alias("a"), "b")
-        ordered = more.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        new = cut(ordered.join(pairs, ["a", "b"], "left_anti"), "pairs")
-        if new.isEmpty():
-            continue
-        pairs = cut(pairs.union(new), "pairs")
-        links = cut(verified(new, sets, least), "links")
-        if links.isEmpty():
-            continue
-        edges = edges.union(links)
-        labels = components(edges)
-    reps_of = first.join(same, ["one", "two"], "left").select("doc_id", F.coalesce("rep", "doc_id").alias("node"))
+    # Of the texts of rows with one doc_id the least stands for them.
+    sets = cut(shingle_sets(texts.groupBy("doc_id").agg(F.min("text").alias("text")) if repeats else texts), "sets")
+
+    # Each member with its bucket's first.
+    pairs = members.filter("doc_id <> leader").select(F.col("doc_id").alias("a"), F.col("leader").alias("b")).distinct()
+    n = members.count()
+    labels = components(packed(verified(pairs, sets, least), n, "links"))
+
+    # Members of classes that are still apart with each other.
+    left = packed(apart(members, labels), n, "apart")
+    if not left.isEmpty():
+        links = packed(verified(rivals(left, sets, known, least), sets, least), n, "links")
+        if not links.isEmpty():
+            labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(links))
+    reps_of = known.select("doc_id", "one", "two").join(same, ["one", "two"], "left").select("doc_id", F.coalesce("rep", "doc_id").alias("node"))
     out = reps_of.join(labels, "node", "left").select("doc_id", F.coalesce("label", "node").alias("class_id"))
     return out.union(sigs.filter(F.col("doc_id").isNull()).select("doc_id", F.col("doc_id").alias("class_id")))
 
