@@ -18,6 +18,43 @@ def small_side(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
     return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
 
 
+#: Bits of a prefilter for each id, and in all (64 MB, the most that is broadcast); bits of one of its bitmaps.
+ID_BITS, MOST_BITS, BITMAP = 32, 1 << 29, 1 << 15
+
+
+def maybe_among(df: DataFrame, ids: DataFrame, key: str) -> tuple[DataFrame, str]:
+    """df with one more column, and its name: true for each row whose key is in ids (a written table of distinct keys), and for few others.
+
+    Each id sets one bit of bitmaps with ID_BITS bits for each id, MOST_BITS at most, which are broadcast. So rows that
+    an exact join would leave as they are need no shuffle. More ids than the bitmaps have room for only make more rows
+    true.
+    """
+    n = ids.count()
+    bits = min(MOST_BITS, max(1, -(-n * ID_BITS // BITMAP)) * BITMAP)
+    tag = "_" * (1 + max(map(len, df.columns)))  # so that no column of df has one of the names
+    place = F.pmod(F.xxhash64(F.col(key)), F.lit(bits))
+    lot, bit = F.floor(place / BITMAP), place % BITMAP
+    spots = ids.select(lot.alias(f"{tag}lot"), bit.alias("bit")).repartition(f"{tag}lot")
+    maps = cut(spots.groupBy(f"{tag}lot").agg(F.bitmap_construct_agg("bit").alias(f"{tag}map")), "id-bits")
+    octet = F.conv(F.hex(F.substr(F.col(f"{tag}map"), (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    is_set = F.coalesce(F.bit_get(octet, (bit % 8).cast("int")) == 1, F.lit(False))
+    x = df.withColumn(f"{tag}lot", lot).join(F.broadcast(maps), f"{tag}lot", "left")
+    return x.select(*df.columns, is_set.alias(tag)), tag
+
+
+def among(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows whose key is in ids, a written table of distinct keys; few others are shuffled."""
+    x, maybe = maybe_among(df, ids, key)
+    return x.filter(F.col(maybe)).drop(maybe).join(ids.select(key), key, "left_semi").select(*df.columns)
+
+
+def not_among(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows whose key is null or not in ids, a written table of distinct keys; df is read twice, and few rows are shuffled."""
+    x, maybe = maybe_among(df, ids, key)
+    seen = x.filter(F.col(maybe)).drop(maybe).join(ids.select(key), key, "left_anti").select(*df.columns)
+    return x.filter(~F.col(maybe)).drop(maybe).union(seen)
+
+
 def held_out(doc_id: Column) -> Column:
     """Whether crc32 of the id as text is divisible by 5; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0

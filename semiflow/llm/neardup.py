@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from semiflow.llm.common import cut, folded_bytes, mixed
+from semiflow.llm.common import among, cut, folded_bytes, mixed, not_among
 
 WORDS, LEAST, BANDS, ROWS = 5, 0.8, 30, 5
 #: Standard deviations by which an estimate from signatures may fall short of `least`: a link is lost once in 3 million.
@@ -199,7 +199,7 @@ def rivals(left: DataFrame, sets: DataFrame, sigs: DataFrame, least: float) -> D
     common = each.groupBy("s").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo < hi").select("s")
     shared = each.join(common, "s").groupBy("doc_id").agg(F.count("*").alias("shared"))
     size = own.select("doc_id", F.size("shingles").alias("n")).join(shared, "doc_id")
-    marks = sigs.select("doc_id", "keys", "sig").join(left.select("doc_id").distinct(), "doc_id", "left_semi")
+    marks = among(sigs.select("doc_id", "keys", "sig"), cut(left.select("doc_id").distinct(), "ids"), "doc_id")
     x = cut(left.join(size.filter(F.col("shared") >= F.col("n") * least - 1e-9).join(marks, "doc_id"), "doc_id"), "rivals")
     a, b = x.alias("a"), x.alias("b")
     m = F.least("a.shared", "b.shared")
@@ -224,8 +224,7 @@ def classes(docs: DataFrame, least: float = LEAST, bands: int = BANDS, rows: int
     reps = known.select("doc_id", "keys").join(same.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", F.explode("keys").alias("band"))
     led = reps.groupBy("band").agg(F.min("doc_id").alias("leader"), F.count("*").alias("n")).filter("n > 1").drop("n")
     members = cut(reps.join(led, "band"), "members")
-    ids = members.select("doc_id").distinct()
-    texts = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", "text").join(ids, "doc_id", "left_semi")
+    texts = among(docs.select("doc_id", "text"), cut(members.select("doc_id").distinct(), "ids"), "doc_id")
     # Of the texts of rows with one doc_id the least stands for them.
     sets = cut(shingle_sets(texts.groupBy("doc_id").agg(F.min("text").alias("text")) if repeats else texts), "sets")
 
@@ -252,8 +251,8 @@ def _repeats(known: DataFrame) -> bool:
 def deduplicated(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """One document of each class, the one with the least doc_id; rows without doc_id stay. Of rows with one doc_id one stays."""
     found = cut(classes(docs, least), "classes")
-    drop = found.filter("class_id <> doc_id").select("doc_id")
-    out = docs.join(drop, "doc_id", "left_anti").select(*docs.columns)
+    drop = cut(found.filter("class_id <> doc_id").select("doc_id"), "copies")
+    out = not_among(docs, drop, "doc_id")
     if _repeats(docs.filter(F.col("doc_id").isNotNull()).select("doc_id")):
         kept = out.filter(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"])
         out = kept.union(out.filter(F.col("doc_id").isNull()))
