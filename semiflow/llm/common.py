@@ -107,13 +107,17 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
+#: Words that one group holds, which bounds the arrays made from it.
+WORDS_AT_ONCE = 4_000
+
+
 def by_length(words: list[str], most: int):
     """Groups of words of one length: (places, code points by word). Words over `most` letters must be cut before."""
     groups: dict[int, list[int]] = {}
     for i, w in enumerate(words):
         groups.setdefault(len(w), []).append(i)
     for n, places in groups.items():
-        for lo in range(0, len(places), 20_000):
-            part = places[lo : lo + 20_000]
+        for lo in range(0, len(places), WORDS_AT_ONCE):
+            part = places[lo : lo + WORDS_AT_ONCE]
             flat = "".join([words[i] for i in part]).encode("utf-32-le")
             yield np.array(part), np.frombuffer(flat, np.uint32).reshape(len(part), n)

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from semiflow.llm.common import by_length, held_out
 
-DECAY, REACH, LONGEST, KEPT = 0.6, 5, 24, 300_000
+DECAY, REACH, LONGEST, KEPT = 0.6, 5, 24, 150_000
 SIZE = 64**3
 #: Landmarks that are to be found for each toxic text of the sample.
 COVER = 3
