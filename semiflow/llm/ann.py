@@ -3,7 +3,7 @@
 A graph joins each vector of a bounded sample with its nearest; it is split into balanced parts by moving vertices to
 the part of most of their neighbours while there is room; a softmax classifier learns each vector's part. It then puts
 every vector of the table into its most probable part, and sends a query to its several most probable parts, whose
-vectors are compared with it exactly. How many parts a query visits is set on the sample, by recall against brute force.
+vectors are compared with it exactly: the most probable one first, whose k-th score bounds what the others need to give. How many parts a query visits is set on the sample, by recall against brute force.
 
 Nearness is the inner product, in double precision, added up from the first component to the last; ties go to the
 smaller vec_id. Vectors that are null, zero, hold null or non-finite components, or have another length than the longest
@@ -136,7 +136,8 @@ def usable(rows: DataFrame) -> DataFrame:
     return ok.filter(F.size("embedding") == (dim or 0))
 
 
-def nearest(q_id: np.ndarray, q: np.ndarray, c_id: np.ndarray, c: np.ndarray, k: int) -> list[tuple[int, int, float]]:
+def nearest(q_id: np.ndarray, q: np.ndarray, c_id: np.ndarray, c: np.ndarray, k: int, bound: np.ndarray) -> list[tuple[int, int, float]]:
+    """(query, candidate, score) of each query's k nearest among the candidates, without those below its bound."""
     out = []
     ct = np.ascontiguousarray(c.T)
     for lo in range(0, len(q), 32):
@@ -146,7 +147,7 @@ def nearest(q_id: np.ndarray, q: np.ndarray, c_id: np.ndarray, c: np.ndarray, k:
         s[q_id[lo : lo + 32, None] == c_id[None, :]] = -np.inf
         for i, row in enumerate(s):
             least = np.partition(row, len(row) - k)[len(row) - k] if len(row) > k else -np.inf
-            at = np.flatnonzero((row >= least) & (row > -np.inf))
+            at = np.flatnonzero((row >= max(least, bound[lo + i])) & (row > -np.inf))
             at = at[np.lexsort((c_id[at], -row[at]))][:k]
             out += [(int(q_id[lo + i]), int(c_id[j]), float(row[j])) for j in at]
     return out
@@ -177,33 +178,56 @@ def search(rows: DataFrame, k: int = 20, every: int = 20, sample: int = 8_000) -
     sizes = {p: (c, q) for p, c, q in index.groupBy("part").agg(F.count("*"), F.count(F.when(F.col("vec_id") % every == 0, 1))).collect()}
     splits = {p: c // BLOCK + 1 for p, (c, _) in sizes.items()}
     asked = max(1, sum(q for _, q in sizes.values()) * router.probes // max(1, len(sizes)) // QUERIES)
-
-    def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if not len(b):
-                continue
-            out = []
-            for i, e, order in zip(b.vec_id, b.embedding, router.route(np.stack(b.embedding.to_numpy()))):
-                seen = got = 0
-                for p in order.tolist():
-                    if p in sizes:
-                        out += [(i, e, p, s, i // every % asked) for s in range(splits[p])]
-                        seen, got = seen + 1, got + sizes[p][0]
-                        if seen >= router.probes and got > k:
-                            break
-            yield pd.DataFrame(out, columns=["vec_id", "embedding", "part", "block", "lot"])
-
-    queries = index.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("embedding").alias("embedding")).mapInPandas(send, "vec_id long, embedding array<double>, part int, block int, lot int")
-    split = F.element_at(F.create_map(*[F.lit(v) for p, s in splits.items() for v in (p, s)]), F.col("part"))
-    cands = index.withColumn("block", F.pmod(F.xxhash64("vec_id", "embedding"), split.cast("long")).cast("int")).withColumn("lot", F.explode(F.sequence(F.lit(0), F.lit(asked - 1))))
+    #: Lots of queries in each part, at the first and at the further parts that queries visit.
+    lots = {p: q // QUERIES + 1 for p, (_, q) in sizes.items()}, dict.fromkeys(sizes, asked)
+
+    def sender(turn: int):
+        """Sends queries to their most probable part (turn 0), or to the others that they visit (turn 1)."""
+
+        def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                if not len(b):
+                    continue
+                out = []
+                for i, e, least, order in zip(b.vec_id, b.embedding, b.bound, router.route(np.stack(b.embedding.to_numpy()))):
+                    seen = got = 0
+                    for p in order.tolist():
+                        if p in sizes:
+                            if turn == (got > k):
+                                out += [(i, e, least, p, s, i // every % lots[turn][p]) for s in range(splits[p])]
+                            seen, got = seen + 1, got + sizes[p][0]
+                            if got > k and (seen >= router.probes or not turn):
+                                break
+                yield pd.DataFrame(out, columns=["vec_id", "embedding", "bound", "part", "block", "lot"])
+
+        return send
 
     def compare(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         got = []
         if len(q) and len(c):
-            got = nearest(q.vec_id.to_numpy(), np.stack(q.embedding.to_numpy()), c.vec_id.to_numpy(), np.stack(c.embedding.to_numpy()), k)
+            got = nearest(q.vec_id.to_numpy(), np.stack(q.embedding.to_numpy()), c.vec_id.to_numpy(), np.stack(c.embedding.to_numpy()), k, q.bound.to_numpy())
         return pd.DataFrame(got, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
-    keys = ("part", "block", "lot")
-    found = queries.groupBy(*keys).cogroup(cands.groupBy(*keys)).applyInPandas(compare, "query_id long, vec_id long, score double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    def of_part(values: dict[int, int]):
+        return F.element_at(F.create_map(*[F.lit(v) for kv in values.items() for v in kv]), F.col("part"))
+
+    def found(queries: DataFrame, turn: int) -> DataFrame:
+        sent = queries.mapInPandas(sender(turn), "vec_id long, embedding array<double>, bound double, part int, block int, lot int")
+        cands = index.withColumn("block", F.pmod(F.xxhash64("vec_id", "embedding"), of_part(splits).cast("long")).cast("int"))
+        cands = cands.withColumn("lot", F.explode(F.sequence(F.lit(0), of_part(lots[turn]) - 1)))
+        keys = ("part", "block", "lot")
+        return sent.groupBy(*keys).cogroup(cands.groupBy(*keys)).applyInPandas(compare, "query_id long, vec_id long, score double")
+
+    def best(x: DataFrame) -> DataFrame:
+        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        return x.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    queries = index.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    first = best(found(queries.withColumn("bound", F.lit(float("-inf"))), 0))
+    if len(sizes) < 2:
+        return first
+    # A query's k-th score in its first part bounds its k nearest: further parts only give what reaches it.
+    first = cut(first, "ann-first")
+    bounds = first.filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("bound"))
+    more = found(queries.join(bounds, "vec_id", "left").withColumn("bound", F.coalesce("bound", F.lit(float("-inf")))), 1)
+    return best(first.drop("rank").union(more))
