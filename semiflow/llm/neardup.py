@@ -1,11 +1,11 @@
-"""Near-duplicate documents by ProbMinHash over weighted word shingles.
+"""Near-duplicate documents by ProbMinHash over word shingles.
 
-Shingles are five consecutive words (all words, where a text has fewer), weighted 1 + ln(times). Each shingle is a
-Poisson process whose rate is its weight; each arrival falls on one of the signature's components, which keeps its
-earliest; a shingle stops once its arrivals come later than all components' earliest. Two signatures agree in a
-component with the probability Jaccard similarity of the texts. Bands of components give candidates, and the Jaccard
-similarity of the sets of shingles (as 32-bit hashes), at 0.8 or more, verifies a link. Classes are the components of
-the links.
+Shingles are five consecutive words (all words, where a text has fewer). Each distinct shingle is a Poisson process;
+each arrival falls on one of the signature's components, which keeps its earliest; a shingle stops once its arrivals
+come later than all components' earliest. However often a text repeats a shingle, its rate is one: so two signatures
+agree in a component with the Jaccard similarity of the sets of shingles, the measure that verifies a link. Bands of
+components give candidates, and a similarity of the sets (as 32-bit hashes) of 0.8 or more verifies a link. Classes are
+the components of the links.
 
 Texts with equal shingle sets are one class from the start and go on as one. In a bucket each is compared with the
 bucket's leader, not with every other; then each pair of members of classes that are still apart is compared, if bounds
@@ -97,13 +97,13 @@ def probminhash(ids: np.ndarray, weight: np.ndarray, doc: np.ndarray, docs: int,
 
 def sketches(texts: list[str], powers: Powers, bands: int, rows: int) -> tuple[np.ndarray, ...]:
     """For each text with words: its place, two fingerprints of its shingle set, its signature in 16 bits each, band keys."""
-    each = [np.unique(shingle_hashes(t, powers), return_counts=True) if t else (np.zeros(0, np.uint64), None) for t in texts]
-    at = np.array([i for i, (s, _) in enumerate(each) if len(s)], np.int64)
+    each = [np.unique(shingle_hashes(t, powers)) if t else np.zeros(0, np.uint64) for t in texts]
+    at = np.array([i for i, s in enumerate(each) if len(s)], np.int64)
     if not len(at):
         return at, at, at, np.zeros((0, bands * rows), np.int16), np.zeros((0, bands), np.int64)
-    n = np.array([len(each[i][0]) for i in at])
-    ids = np.concatenate([each[i][0] for i in at])
-    weight = 1 + np.log(np.concatenate([each[i][1] for i in at]))
+    n = np.array([len(each[i]) for i in at])
+    ids = np.concatenate([each[i] for i in at])
+    weight = np.ones(len(ids))  # equal weights: components agree as often as the sets that verified() compares are alike
     doc = np.repeat(np.arange(len(at)), n)
     start = np.concatenate([[0], np.cumsum(n)[:-1]])
     one, two = (np.add.reduceat(mixed(ids ^ np.uint64(c)), start).view(np.int64) for c in (0x1234567, 0x7654321))

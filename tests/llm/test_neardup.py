@@ -64,6 +64,28 @@ def test_chain_of_copies_is_one_class(spark):
     assert got == brute(rows) and set(got.values()) == {0}
 
 
+def repeated_lines(pairs, times):
+    """Pairs of texts whose second one has one more line, many times: the sets of shingles are over 0.8 alike."""
+    rows = []
+    for i in range(pairs):
+        base = [f"p{i}w{k}" for k in range(154)]
+        rows += [" ".join(base), " ".join(base + [f"p{i}x{k}" for k in range(30)] * times)]
+    return list(enumerate(rows))
+
+
+def test_lines_repeated_in_one_copy_only(spark):
+    rows = repeated_lines(20, 50)
+    got = {x.doc_id: x.class_id for x in neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows) == {i: i - i % 2 for i, _ in rows}
+
+
+def test_signatures_agree_as_the_verified_sets_do():
+    texts = [t for _, t in repeated_lines(20, 50)]
+    sig = neardup.sketches(texts, neardup.Powers(), neardup.BANDS, neardup.ROWS)[3]
+    true = np.mean([len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b)) for a, b in zip(texts[::2], texts[1::2])])
+    assert true > 0.8 and abs((sig[::2] == sig[1::2]).mean() - true) < 0.03
+
+
 def test_nulls_empties_repeats(spark):
     rows = [(5, "a b c"), (5, "a b c"), (3, "A, b. c!"), (7, None), (8, ""), (9, "..."), (None, "a b c"), (10, "a b")]
     docs = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, class_id int")
