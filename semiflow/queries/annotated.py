@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from semiflow.inference import dist, lens, semiring, wmc
-from semiflow.queries import query
+from semiflow.queries import query, whole
 from semiflow.sources.tables import table
 from semiflow.streaming import zset
 
@@ -15,40 +15,49 @@ def edges(spark, d):
     return x.groupBy("a", "b").agg(F.min("l_linenumber").cast("double").alias("c"), F.count("*").alias("n"))
 
 
-def rel(spark, d, s, value=None):
-    x = edges(spark, d)
+#: All distinct supplier-part links, with their own keys.
+ALL = "SELECT l_suppkey AS a, l_partkey AS b, CAST(min(l_linenumber) AS DOUBLE) AS c, count(*) AS n FROM lineitem GROUP BY 1, 2"
+
+
+def all_edges(spark, d):
+    x = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("a"), F.col("l_partkey").alias("b"), "l_linenumber")
+    return x.groupBy("a", "b").agg(F.min("l_linenumber").cast("double").alias("c"), F.count("*").alias("n"))
+
+
+def rel(spark, d, s, value=None, graph=edges):
+    x = graph(spark, d)
     return x.select("a", "b", (s.one() if value is None else F.col(value)).alias("_s"))
 
 
-def two_hop(spark, d, s, value=None):
-    e = rel(spark, d, s, value)
+def two_hop(spark, d, s, value=None, graph=edges):
+    e = rel(spark, d, s, value, graph)
     return semiring.query(["x", "z"], [("e", "x", "y"), ("e", "y", "z")], s, {"e": e})
 
 
 @query(f"WITH e AS ({E}) SELECT x.a AS x, y.b AS z, CAST(sum(x.n * y.n) AS BIGINT) AS s FROM e x JOIN e y ON x.b = y.a GROUP BY 1, 2")
-def q4_two_hop_counting(spark, d):
-    return two_hop(spark, d, semiring.COUNTING, "n").withColumnRenamed("_s", "s")
+def q4_two_hop_counting(spark, d, graph=edges):
+    return two_hop(spark, d, semiring.COUNTING, "n", graph).withColumnRenamed("_s", "s")
 
 
 @query(f"WITH e AS ({E}) SELECT x.a AS x, y.b AS z, min(x.c + y.c) AS s FROM e x JOIN e y ON x.b = y.a GROUP BY 1, 2")
-def q4_two_hop_tropical(spark, d):
-    return two_hop(spark, d, semiring.TROPICAL, "c").withColumnRenamed("_s", "s")
+def q4_two_hop_tropical(spark, d, graph=edges):
+    return two_hop(spark, d, semiring.TROPICAL, "c", graph).withColumnRenamed("_s", "s")
 
 
 @query(f"WITH e AS ({E}) SELECT DISTINCT x.a AS x, y.b AS z, true AS s FROM e x JOIN e y ON x.b = y.a")
-def q5_two_hop_existence(spark, d):
-    return two_hop(spark, d, semiring.EXISTENCE).withColumnRenamed("_s", "s")
+def q5_two_hop_existence(spark, d, graph=edges):
+    return two_hop(spark, d, semiring.EXISTENCE, graph=graph).withColumnRenamed("_s", "s")
 
 
 @query(f"WITH e AS ({E}) SELECT x.a AS x, y.b AS z, max(least(x.c / 10, y.c / 10)) AS s FROM e x JOIN e y ON x.b = y.a GROUP BY 1, 2")
-def q1_fuzzy(spark, d):
-    e = edges(spark, d).select("a", "b", (F.col("c") / 10).alias("_s"))
+def q1_fuzzy(spark, d, graph=edges):
+    e = graph(spark, d).select("a", "b", (F.col("c") / 10).alias("_s"))
     return semiring.query(["x", "z"], [("e", "x", "y"), ("e", "y", "z")], semiring.FUZZY, {"e": e}).withColumnRenamed("_s", "s")
 
 
 @query(f"WITH e AS ({E}) SELECT x.a AS x, round(sum(x.c / 10 * (y.c / 10)), 6) AS s FROM e x JOIN e y ON x.b = y.a GROUP BY 1")
-def q1_probability(spark, d):
-    e = edges(spark, d).select("a", "b", (F.col("c") / 10).alias("_s"))
+def q1_probability(spark, d, graph=edges):
+    e = graph(spark, d).select("a", "b", (F.col("c") / 10).alias("_s"))
     x = semiring.query(["x"], [("e", "x", "y"), ("e", "y", "z")], semiring.PROBABILITY, {"e": e})
     return x.select("x", F.round("_s", 6).alias("s"))
 
@@ -61,8 +70,8 @@ def q1_provenance(spark, d):
 
 
 @query(f"WITH e AS ({E}) SELECT a, b, CAST(sum(n) AS BIGINT) AS s FROM (SELECT a, b, n FROM e UNION ALL SELECT b, a, n FROM e) GROUP BY 1, 2")
-def q2_add(spark, d):
-    x = rel(spark, d, semiring.COUNTING, "n")
+def q2_add(spark, d, graph=edges):
+    x = rel(spark, d, semiring.COUNTING, "n", graph)
     return semiring.add(x, x.select(F.col("b").alias("a"), F.col("a").alias("b"), "_s"), semiring.COUNTING).withColumnRenamed("_s", "s")
 
 
@@ -74,8 +83,8 @@ def q2_mul(spark, d):
 
 
 @query(f"WITH e AS ({E}) SELECT a, CAST(sum(n) AS BIGINT) AS s FROM e GROUP BY 1")
-def q2_rel_sum(spark, d):
-    return semiring.marginal(rel(spark, d, semiring.COUNTING, "n"), ["a"], semiring.COUNTING).withColumnRenamed("_s", "s")
+def q2_rel_sum(spark, d, graph=edges):
+    return semiring.marginal(rel(spark, d, semiring.COUNTING, "n", graph), ["a"], semiring.COUNTING).withColumnRenamed("_s", "s")
 
 
 @query("SELECT c_mktsegment, CAST(count(*) AS BIGINT) AS s FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")
@@ -93,6 +102,13 @@ def q6_shortest_paths(spark, d):
     return semiring.closure(rel(spark, d, semiring.TROPICAL, "c"), semiring.TROPICAL).filter("_s <= 6").withColumnRenamed("_s", "s")
 
 
+@query()
+def q6_shortest_paths_whole(spark, d):
+    """Cheapest paths of any cost over all customer-order links; without SQL, as a recursion without a bound on costs does not end."""
+    e = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("a"), F.col("o_orderkey").alias("b")).agg(F.min("o_totalprice").cast("double").alias("_s"))
+    return semiring.closure(e, semiring.TROPICAL).withColumnRenamed("_s", "s")
+
+
 @query("SELECT n_regionkey, round(1 - power(0.5, count(*)), 9) AS p FROM nation GROUP BY 1")
 def q8_model_count(spark, d):
     x = semiring.fact(table(spark, d, "nation").select("n_regionkey", "n_name"), F.col("n_name"))
@@ -149,3 +165,7 @@ def q7_elimination_equals_plain(spark, d):
     fast = semiring.eliminate([c, o], ["c_mktsegment"], s)
     plain = semiring.marginal(semiring.join(c, o, s), ["c_mktsegment"], s).withColumnRenamed("_s", "p")
     return fast.join(plain, "c_mktsegment").select("c_mktsegment", F.col("_s").alias("s"), (F.col("_s") == F.col("p")).alias("same"))
+
+
+for f in (q4_two_hop_counting, q4_two_hop_tropical, q5_two_hop_existence, q1_fuzzy, q1_probability, q2_add, q2_rel_sum):
+    whole(f, (all_edges,), {E: ALL})
