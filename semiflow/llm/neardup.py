@@ -215,18 +215,15 @@ def rivals(left: DataFrame, sets: DataFrame, sigs: DataFrame, least: float) -> D
 
 def classes(docs: DataFrame, least: float = LEAST, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc_id, class_id), a row for each doc_id (and each row with none): class_id is the least doc_id of its class."""
+    docs = one_row_each(docs.select("doc_id", "text"))
     sigs = cut(signatures(docs, bands, rows), "signatures")
     known = sigs.filter(F.col("doc_id").isNotNull())
-    repeats = _repeats(known)
-    if repeats:
-        known = known.groupBy("doc_id").agg(F.min(F.struct("one", "two", "keys", "sig")).alias("m")).select("doc_id", "m.*")
     same = cut(known.filter("one is not null").groupBy("one", "two").agg(F.min("doc_id").alias("rep")), "same")
     reps = known.select("doc_id", "keys").join(same.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", F.explode("keys").alias("band"))
     led = reps.groupBy("band").agg(F.min("doc_id").alias("leader"), F.count("*").alias("n")).filter("n > 1").drop("n")
     members = cut(reps.join(led, "band"), "members")
     texts = among(docs.select("doc_id", "text"), cut(members.select("doc_id").distinct(), "ids"), "doc_id")
-    # Of the texts of rows with one doc_id the least stands for them.
-    sets = cut(shingle_sets(texts.groupBy("doc_id").agg(F.min("text").alias("text")) if repeats else texts), "sets")
+    sets = cut(shingle_sets(texts), "sets")
 
     # Each member with its bucket's first.
     pairs = members.filter("doc_id <> leader").select(F.col("doc_id").alias("a"), F.col("leader").alias("b")).distinct()
@@ -244,16 +241,19 @@ def classes(docs: DataFrame, least: float = LEAST, bands: int = BANDS, rows: int
     return out.union(sigs.filter(F.col("doc_id").isNull()).select("doc_id", F.col("doc_id").alias("class_id")))
 
 
-def _repeats(known: DataFrame) -> bool:
-    return not known.groupBy("doc_id").count().filter("count > 1").isEmpty()
+def one_row_each(docs: DataFrame) -> DataFrame:
+    """docs with one row for each doc_id, that of the least text (a null is the greatest); rows without doc_id stay."""
+    known = docs.filter(F.col("doc_id").isNotNull())
+    if known.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        return docs
+    least = F.min_by(F.struct(*docs.columns), F.struct(F.col("text").isNull(), "text")).alias("row")
+    kept = cut(known.groupBy(F.col("doc_id").alias("id")).agg(least).select("row.*"), "one-row-each")
+    return kept.union(docs.filter(F.col("doc_id").isNull()))
 
 
 def deduplicated(docs: DataFrame, least: float = LEAST) -> DataFrame:
-    """One document of each class, the one with the least doc_id; rows without doc_id stay. Of rows with one doc_id one stays."""
+    """One document of each class, the one with the least doc_id; rows without doc_id stay. Of rows with one doc_id that of the least text stays."""
+    docs = one_row_each(docs)
     found = cut(classes(docs, least), "classes")
     drop = cut(found.filter("class_id <> doc_id").select("doc_id"), "copies")
-    out = not_among(docs, drop, "doc_id")
-    if _repeats(docs.filter(F.col("doc_id").isNotNull()).select("doc_id")):
-        kept = out.filter(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"])
-        out = kept.union(out.filter(F.col("doc_id").isNull()))
-    return out
+    return not_among(docs, drop, "doc_id")

@@ -97,6 +97,16 @@ def test_nulls_empties_repeats(spark):
     assert neardup.classes(docs.limit(0)).collect() == []
 
 
+def test_rows_with_one_id_stand_for_their_least_text(spark):
+    """Keys, sets and the kept row come from one text, so copies of the least text are found and those of others stay."""
+    of = lambda i, k: f"{k} " + " ".join(f"t{i}{k}{j}" for j in range(40))
+    rows = [x for i in range(12) for x in [(2 * i + 1, of(i, "z")), (2 * i + 1, of(i, "a")), (2 * i + 1, of(i, "m")), (2 * i, of(i, "a"))]]
+    rows += [(101, of(50, "z")), (101, of(50, "a")), (102, of(50, "z"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {2 * i: of(i, "a") for i in range(12)} | {101: of(50, "a"), 102: of(50, "z")}
+    assert sorted(map(tuple, neardup.deduplicated(docs).collect())) == sorted(want.items())
+
+
 def test_signatures_estimate_probability_jaccard():
     r = np.random.default_rng(1)
     a = {int(k): float(w) for k, w in zip(range(0, 60), r.uniform(0.5, 3, 60))}
