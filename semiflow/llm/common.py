@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +12,28 @@ from semiflow.scratch import cut, scratch, shared_dir  # noqa: F401
 from semiflow.sources.tables import table  # noqa: F401
 
 
+#: Bytes and rows that Spark hands to a Python worker at once.
+BATCH_BYTES, BATCH_ROWS = 4 << 20, 2_000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, after the session's Arrow batches are bounded, so that neither a task's JVM nor its worker holds many texts.
+
+    A session that has set smaller ones keeps them. A batch has one row at least, so a longer text makes a longer batch.
+    """
+    conf = df.sparkSession.conf
+    for key, most in (("maxBytesPerBatch", BATCH_BYTES), ("maxRecordsPerBatch", BATCH_ROWS)):
+        now = int(re.sub(r"\D", "", conf.get(f"spark.sql.execution.arrow.{key}")) or 0)
+        if not 0 < now <= most:
+            conf.set(f"spark.sql.execution.arrow.{key}", most)
+    return df
+
+
+def free_name(df: DataFrame, *more: str) -> str:
+    """A prefix with which no column's name begins."""
+    return "_" * (1 + max(map(len, (*df.columns, *more, ""))))
+
+
 def small_side(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
     """df marked for broadcast if it has at most max_rows rows, else df, to be joined by a shuffle."""
     rows = df.limit(max_rows + 1).collect()
@@ -31,7 +55,7 @@ def maybe_among(df: DataFrame, ids: DataFrame, key: str) -> tuple[DataFrame, str
     """
     n = ids.count()
     bits = min(MOST_BITS, max(1, -(-n * ID_BITS // BITMAP)) * BITMAP)
-    tag = "_" * (1 + max(map(len, df.columns)))  # so that no column of df has one of the names
+    tag = free_name(df)
     place = F.pmod(F.xxhash64(F.col(key)), F.lit(bits))
     lot, bit = F.floor(place / BITMAP), place % BITMAP
     spots = ids.select(lot.alias(f"{tag}lot"), bit.alias("bit")).repartition(f"{tag}lot")
@@ -85,15 +109,22 @@ def folded(text: str) -> str:
     return folded_bytes(text)[0].tobytes().decode("utf-8")
 
 
-def source_span(text: str, lo: int, hi: int) -> tuple[int, int]:
-    """Code points of the text for the code points lo to hi of folded(text)."""
+def source_spans(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Code points of the text for spans in code points of folded(text)."""
+    if not spans:
+        return []
     out, at = folded_bytes(text)
-    s = out.tobytes().decode("utf-8")
-    first, last = len(s[:lo].encode()), len(s[:hi].encode())
-    raw = text.encode("utf-8")
-    start = int(at[first]) if first < len(at) else len(raw)
-    end = int(at[last - 1]) + 1 if last > first else start
-    return len(raw[:start].decode("utf-8", "ignore")), len(raw[:end].decode("utf-8", "ignore"))
+    raw = np.frombuffer(text.encode("utf-8"), np.uint8)
+    # Bytes before each code point of the folded text, and code points before each byte of the text.
+    starts = np.append(np.flatnonzero((out & 0xC0) != 0x80), len(out))
+    points = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
+    got = []
+    for lo, hi in spans:
+        first, last = int(starts[min(lo, len(starts) - 1)]), int(starts[min(hi, len(starts) - 1)])
+        start = int(at[first]) if first < len(at) else len(raw)
+        end = int(at[last - 1]) + 1 if last > first else start
+        got.append((int(points[start]), int(points[end])))
+    return got
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

@@ -18,10 +18,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from semiflow.llm.common import folded, source_span
+from semiflow.llm.common import folded, small_batches, source_spans
 
-#: Characters of items that one pass holds.
-BLOCK_CHARS = 8_000_000
+#: Characters of items that one pass holds (an automaton of some 50 bytes each), and of the shortest item.
+BLOCK_CHARS, LEAST = 800_000, 12
 SCHEMA = "doc_id long, item_id long, distance int, start long, end long"
 
 
@@ -57,15 +57,31 @@ def myers(pattern: str, text: str) -> tuple[int, int]:
     return best, at
 
 
+def joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The spans in order, those that touch as one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 class Matcher:
     def __init__(self, items: list[tuple[int, str]], rate: float):
-        self.items, seeds = [], {}
+        #: Item ids, folded text and edits; items with equal texts are one entry.
+        self.items: list[tuple[list[int], str, int]] = []
+        ids: dict[str, list[int]] = {}
         for item_id, text in items:
-            if s := folded(text or "").strip():
-                k = budget(len(s), rate)
-                for at, piece in pieces(s, k):
-                    seeds.setdefault(piece, []).append((len(self.items), at))
-                self.items.append((item_id, s, k))
+            if len(s := folded(text or "").strip()) >= LEAST:
+                ids.setdefault(s, []).append(item_id)
+        seeds: dict[str, list[tuple[int, int]]] = {}
+        for s, own in ids.items():
+            k = budget(len(s), rate)
+            for at, piece in pieces(s, k):
+                seeds.setdefault(piece, []).append((len(self.items), at))
+            self.items.append((own, s, k))
         self.found = ahocorasick.Automaton()
         for piece, where in seeds.items():
             self.found.add_word(piece, (len(piece), where))
@@ -80,26 +96,36 @@ class Matcher:
             for item, at in where:
                 _, p, k = self.items[item]
                 lo = end + 1 - n - at
+                if k == 0 and (s[max(0, lo - 1) : lo].isalnum() or s[end + 1 : end + 2].isalnum()):
+                    continue
                 windows.setdefault(item, []).append((max(0, lo - k), min(len(s), lo + len(p) + k)))
         for item, spans in windows.items():
-            item_id, p, k = self.items[item]
-            spans.sort()
-            merged = [spans[0]]
-            for a, b in spans[1:]:
-                if a <= merged[-1][1]:
-                    merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
-                else:
-                    merged.append((a, b))
-            best = None
-            for a, b in merged:
-                d, e = (0, s.index(p, a, b) - a + len(p)) if p in s[a:b] else myers(p, s[a:b])
-                if d <= k and (best is None or d < best[0]):
-                    back, n = (0, len(p)) if d == 0 else myers(p[::-1], s[max(a, a + e - len(p) - k) : a + e][::-1])
-                    best = (d, a + e - n, a + e)
-                    if d == 0:
-                        break
-            if best:
-                yield item_id, *best
+            ids, p, k = self.items[item]
+            if best := self.best(s, p, k, joined(spans)):
+                for item_id in ids:
+                    yield item_id, *best
+
+    @staticmethod
+    def best(s: str, p: str, k: int, spans: list[tuple[int, int]]) -> tuple[int, int, int] | None:
+        """(distance, start, end) of the first of the best places of p in the spans of s, or none within k edits."""
+        best = None
+        for a, b in spans:
+            at = s.find(p, a, b)
+            if at >= 0:
+                return 0, at, at + len(p)
+            d, e = myers(p, s[a:b])
+            if d <= k and (best is None or d < best[0]):
+                _, n = myers(p[::-1], s[max(a, a + e - len(p) - k) : a + e][::-1])
+                best = (d, a + e - n, a + e)
+        return best
+
+
+def blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
+    """The items (item_id, text) in lots of about BLOCK_CHARS characters."""
+    rows = items.select("item_id", "text").filter(F.length("text") > 0)
+    n = (rows.agg(F.sum(F.length("text"))).first()[0] or 0) // BLOCK_CHARS + 1
+    for b in range(n):
+        yield [tuple(r) for r in rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b).collect()]
 
 
 def matches(docs: DataFrame, items: DataFrame, rate: float = 0.05) -> DataFrame:
@@ -107,20 +133,19 @@ def matches(docs: DataFrame, items: DataFrame, rate: float = 0.05) -> DataFrame:
 
     docs has doc_id and text, items item_id and text.
     """
-    rows = items.select("item_id", "text").filter(F.length("text") > 0)
-    total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = total // BLOCK_CHARS + 1
     out = None
-    for b in range(blocks):
-        own = [tuple(r) for r in rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()]
+    for own in blocks(items):
 
         def scan(batches: Iterator[pd.DataFrame], own=own) -> Iterator[pd.DataFrame]:
             match = Matcher(own, rate)
             for x in batches:
-                got = [(i, item, d, *source_span(t, lo, hi)) for i, t in zip(x.doc_id, x.text) if t for item, d, lo, hi in match(t)]
+                got = []
+                for i, t in zip(x.doc_id, x.text):
+                    hits = list(match(t)) if t else []
+                    got += [(i, item, d, lo, hi) for (item, d, _, _), (lo, hi) in zip(hits, source_spans(t, [h[2:] for h in hits]))]
                 yield pd.DataFrame(got, columns=["doc_id", "item_id", "distance", "start", "end"])
 
-        part = docs.select("doc_id", "text").mapInPandas(scan, SCHEMA)
+        part = small_batches(docs).select("doc_id", "text").mapInPandas(scan, SCHEMA)
         out = part if out is None else out.union(part)
     return out
 
@@ -139,10 +164,6 @@ def contaminated(items: list[tuple[int, str]], rate: float):
 
 def without_benchmark(docs: DataFrame, items: DataFrame, rate: float = 0.05) -> DataFrame:
     """The documents in which no item occurs, with their columns; documents with null text stay."""
-    rows = items.select("item_id", "text").filter(F.length("text") > 0)
-    total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = total // BLOCK_CHARS + 1
-    for b in range(blocks):
-        own = [tuple(r) for r in rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()]
-        docs = docs.filter(~contaminated(own, rate)(F.col("text")))
+    for own in blocks(items):
+        docs = small_batches(docs).filter(~contaminated(own, rate)(F.col("text")))
     return docs

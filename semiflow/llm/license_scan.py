@@ -1,15 +1,19 @@
 """License scans: fuzzy search for short notices.
 
 A notice with at most k edits, cut into k + 1 pieces, keeps one piece unchanged: all pieces are searched at once, each
-hit gives a window, and the regex library's bounded-error matching of the whole notice in that window verifies the
-edits and reports the span. Beside it, phrases are found wherever their words stand consecutively.
+hit gives a window as long as the notice and k more at both ends, and the regex library's bounded-error matching of the
+whole notice in that window verifies the edits and reports the span. A window that shares too few three-character parts
+with the notice can't hold it and isn't matched. Of places of one notice that overlap, that with the fewest edits is
+kept, then the longest, then the first. Beside it, phrases are found wherever their words stand consecutively.
 
 Words are runs of other characters than ASCII signs, A-Z lowered. Null texts count as empty, which have no words, no
-labels and score 0; an empty table gives no rows; repeated rows are each scanned.
+labels and score 0; an empty table gives no rows; repeated rows are each scanned; texts may have any length, and each
+hit costs the same in a long text as in a short one. Other columns of the input are left out.
 """
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import ahocorasick
@@ -17,7 +21,7 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 
-from semiflow.llm.common import folded, source_span
+from semiflow.llm.common import folded, small_batches, source_spans
 from semiflow.llm.decontaminate import pieces
 
 #: Phrases that are found exactly, and their labels.
@@ -42,6 +46,14 @@ NOTICES = {
 SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<label:string,start:long,end:long,edits:int>>"
 
 
+#: Characters of the parts by which windows are sifted; windows of one text and notice whose results are kept.
+GRAM, WINDOWS = 3, 10_000
+
+
+def grams(s: str) -> set[str]:
+    return {s[i : i + GRAM] for i in range(len(s) - GRAM + 1)}
+
+
 def budget(notice: str) -> int:
     """Edits allowed: one in ten characters, with pieces of 6 characters at least."""
     return min(len(notice) // 10, len(notice) // 6 - 1)
@@ -55,7 +67,7 @@ class Scanner:
             k = budget(notice)
             for at, piece in pieces(notice, k):
                 seeds.setdefault(piece, []).append((len(self.notices), at))
-            self.notices.append((regex.compile(f"(?:{regex.escape(notice, literal_spaces=True)}){{e<={k}}}", regex.BESTMATCH), len(notice), k, label))
+            self.notices.append((regex.compile(f"(?:{regex.escape(notice, literal_spaces=True)}){{e<={k}}}", regex.BESTMATCH), len(notice), k, label, grams(notice)))
         self.seeds = ahocorasick.Automaton()
         for piece, where in seeds.items():
             self.seeds.add_word(piece, (len(piece), where))
@@ -72,26 +84,30 @@ class Scanner:
         return found
 
     def fuzzy(self, s: str) -> list[tuple[str, int, int, int]]:
-        """(label, start, end, edits) of the notices; windows that touch are searched as one, for all notices in it."""
-        windows: dict[int, list[list[int]]] = {}
+        """(label, start, end, edits) of the notices."""
         if not self.notices:
             return []
+        starts: dict[int, set[int]] = {}
         for end, (n, where) in self.seeds.iter(s):
             for i, at in where:
-                _, m, k, _ = self.notices[i]
-                lo = end + 1 - n - at
-                a, b = max(0, lo - k), min(len(s), lo + m + k)
-                own = windows.setdefault(i, [])
-                if own and a <= own[-1][1]:
-                    own[-1] = [min(a, own[-1][0]), max(b, own[-1][1])]
-                else:
-                    own.append([a, b])
+                starts.setdefault(i, set()).add(end + 1 - n - at)
         found = []
-        for i, spans in windows.items():
-            form, m, k, label = self.notices[i]
-            for a, b in spans:
-                if b - a >= m - k:
-                    found += [(label, x.start(), x.end(), sum(x.fuzzy_counts)) for x in form.finditer(s, a, b)]
+        for i, own in starts.items():
+            form, m, k, label, parts = self.notices[i]
+            known: dict[str, tuple[int, int, int] | None] = {}
+            places = set()
+            for lo in own:
+                a, b = max(0, lo - k), min(len(s), lo + m + k)
+                window = s[a:b]
+                if window not in known:
+                    if len(known) == WINDOWS:
+                        known.clear()
+                    # An edit destroys at most GRAM of the notice's parts.
+                    x = form.search(window) if len(parts & grams(window)) >= len(parts) - GRAM * k else None
+                    known[window] = x and (x.start(), x.end(), sum(x.fuzzy_counts))
+                if x := known[window]:
+                    places.add((x[2], x[0] - x[1], a + x[0], a + x[1]))
+            found += [(label, a, b, e) for e, _, a, b in apart(places)]
         return found
 
     def __call__(self, text: str | None) -> tuple:
@@ -101,18 +117,33 @@ class Scanner:
             return 0, 0, None, None, "", "", 0.0, []
         s = f" {body} "
         base = self.exact(s)
-        places = [s.count(" ", 0, at) for at, _ in base]
-        near = self.fuzzy(s)
+        first, last = (s.count(" ", 0, f(at for at, _ in base)) if base else None for f in (min, max))
+        near = sorted(self.fuzzy(s), key=lambda x: x[1:])
         labels = {label for _, label in base}
         score = 1.0 if base else max((1 - e / max(1, b - a) for _, a, b, e in near), default=0.0)
-        spans = [(label, *source_span(text, max(0, a - 1), max(0, b - 1)), e) for label, a, b, e in sorted(near, key=lambda x: x[1:])]
+        spans = source_spans(text, [(max(0, a - 1), max(0, b - 1)) for _, a, b, _ in near])
         return (
-            body.count(" ") + 1, len(base), min(places, default=None), max(places, default=None),
+            body.count(" ") + 1, len(base), first, last,
             ",".join(sorted(labels)), ",".join(sorted(labels | {x[0] for x in near})), max(0.0, score),
-            [dict(zip(("label", "start", "end", "edits"), x)) for x in spans],
+            [{"label": x[0], "start": a, "end": b, "edits": x[3]} for x, (a, b) in zip(near, spans)],
         )
 
 
+def apart(places: set[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """Of places (edits, -length, start, end), taken from the best on, those that overlap none taken before."""
+    starts: list[int] = []
+    kept: list[tuple[int, int, int, int]] = []
+    by_start: dict[int, tuple[int, int, int, int]] = {}
+    for p in sorted(places):
+        i = bisect.bisect_left(starts, p[2])
+        if (i < len(starts) and starts[i] < p[3]) or (i and by_start[starts[i - 1]][3] > p[2]):
+            continue
+        starts.insert(i, p[2])
+        by_start[p[2]] = p
+        kept.append(p)
+    return kept
+
+
 def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, notices: dict[str, str] = NOTICES) -> DataFrame:
     """A row for each document (doc_id, text): counts of words and phrases, labels, score and the notices' spans in code points."""
 
@@ -124,4 +155,4 @@ def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, notices: dict[str,
             out.insert(0, "doc_id", x.doc_id.values)
             yield out.astype({"first_word": "Int64", "last_word": "Int64"})
 
-    return docs.select("doc_id", "text").mapInPandas(run, SCHEMA)
+    return small_batches(docs).select("doc_id", "text").mapInPandas(run, SCHEMA)

@@ -4,8 +4,9 @@ Sizes are summed by source and hash bucket. The bucket in which a source's budge
 sums, and only that bucket is summed again by finer buckets, until a bucket is one hash value. A row is then taken by
 comparing its hash with its source's threshold: nothing is sorted, and reruns agree.
 
-Null texts have size 0; null sources form one group, ordered last; rows with one id (or null ids) share a hash and are
-taken or left together; an empty table gives an empty result. Columns of the input may have any name.
+Null texts have size 0, and texts may have any length; null sources form one group, ordered last; rows with one id share
+a hash and are taken or left together, and so do rows with a null id and equal texts; an empty table gives an empty
+result. Columns of the input may have any name: those that the operator adds are named apart from them.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from semiflow.llm.common import cut, small_side
+from semiflow.llm.common import cut, free_name, small_side
 
 #: Bits of the hash that each round of histograms resolves.
 LEVELS = (12, 10, 10)
@@ -27,8 +28,10 @@ def size_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def hash_of(key: Column) -> Column:
-    return F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), 1, 8), 16, 10).cast("long")
+def hash_of(key: Column, text: Column) -> Column:
+    """A hash of the key, or of the text where the key is null: rows without a key would else be taken or left all together."""
+    known = F.coalesce(key.cast("string"), F.concat(F.lit("?"), F.coalesce(text, F.lit(""))))
+    return F.conv(F.substring(F.md5(known.cast("binary")), 1, 8), 16, 10).cast("long")
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: tuple[int, int] = (3, 2), cap: int = 2) -> DataFrame:
@@ -67,14 +70,13 @@ class Mix:
 
     rules: DataFrame
 
-    def apply(self, rows: DataFrame, source: str = "source", key: str = "doc_id", text: str = "text", size: Column | None = None) -> DataFrame:
-        """rows with mix_size, source_size, target and copies."""
-        rules = self.rules.select(*[F.col(c).alias(f"__{c}") for c in self.rules.columns])
-        x = rows.withColumns({"__h": hash_of(F.col(key)), "__n": size_of(F.col(text)) if size is None else size})
-        x = x.join(rules, F.col(source).eqNullSafe(F.col("__source")))
-        took = F.col("__whole") + F.when(F.col("__h") < F.col("__threshold"), 1).otherwise(0)
-        keep = [F.col(c) for c in rows.columns]
-        return x.select(*keep, F.col("__n").alias("mix_size"), F.col("__source_size").alias("mix_source_size"), F.col("__target").alias("mix_target"), took.cast("long").alias("mix_copies"))
+    def apply(self, rows: DataFrame, hash_: Column, size: Column, source: str = "source") -> tuple[DataFrame, str]:
+        """rows with four more columns, and the prefix of their names: size, source_size, target and copies follow it."""
+        tag = free_name(rows)
+        rules = self.rules.select(*[F.col(c).alias(f"{tag}{c}") for c in self.rules.columns])
+        x = rows.withColumns({f"{tag}h": hash_, f"{tag}size": size}).join(rules, F.col(source).eqNullSafe(F.col(f"{tag}source")))
+        took = F.col(f"{tag}whole") + F.when(F.col(f"{tag}h") < F.col(f"{tag}threshold"), 1).otherwise(0)
+        return x.select(*rows.columns, *[f"{tag}{c}" for c in ("size", "source_size", "target")], took.cast("long").alias(f"{tag}copies")), tag
 
 
 def plan(rows: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: tuple[int, int] = (3, 2), cap: int = 2) -> Mix:
@@ -102,18 +104,26 @@ def plan(rows: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: tuple[int
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "source", size_of(F.col("text")).alias("n"), hash_of(F.col("doc_id")).alias("h"))
+    return docs.select("doc_id", "source", size_of(F.col("text")).alias("n"), hash_of(F.col("doc_id"), F.col("text")).alias("h"))
 
 
 def mix_report(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1)) -> DataFrame:
     """A row for each document: its size, its source's size and target, and the words of it that the mix takes."""
     rows = cut(sized(docs), "mix-sizes")
-    x = plan(rows, weights).apply(rows, size=F.col("n"))
-    return x.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("mix_copies") * F.col("mix_size")).alias("taken"), F.col("mix_copies").alias("copies"))
+    x, tag = plan(rows, weights).apply(rows, F.col("h"), F.col("n"))
+    size, copies = F.col(f"{tag}size"), F.col(f"{tag}copies")
+    return x.select("doc_id", size.alias("size"), F.col(f"{tag}source_size").alias("source_size"), F.col(f"{tag}target").alias("target"), (copies * size).alias("taken"), copies.alias("copies"))
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1)) -> DataFrame:
-    """The documents that the mix takes, with `copies`, the times that each is taken. A column of that name is replaced."""
+    """The documents that the mix takes, with `copies`, the times that each is taken.
+
+    A column of that name is kept as copies_in (with more _in, where that is taken too).
+    """
     rows = cut(sized(docs), "mix-sizes")
-    x = plan(rows, weights).apply(docs).filter("mix_copies > 0")
-    return x.select(*[c for c in docs.columns if c != "copies"], F.col("mix_copies").alias("copies"))
+    x, tag = plan(rows, weights).apply(docs, hash_of(F.col("doc_id"), F.col("text")), size_of(F.col("text")))
+    kept = "copies"
+    while kept in docs.columns:
+        kept += "_in"
+    copies = F.col(f"{tag}copies")
+    return x.filter(copies > 0).select(*[F.col(c).alias(kept if c == "copies" else c) for c in docs.columns], copies.alias("copies"))

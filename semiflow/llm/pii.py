@@ -3,10 +3,12 @@
 The patterns find e-mail addresses, IP addresses, card and phone numbers. The field, trained on a small labelled table,
 labels tokens (runs of other characters than blanks) and adds spans that the patterns miss, such as national phone
 numbers, spelt-out addresses and access keys, where they overlap no span of a pattern. It is decoded by Viterbi over the
-stretches of tokens within NEAR tokens of a digit, an @ or a bracketed (at) or (dot); no other token can be labelled.
+stretches of tokens within NEAR tokens of a digit, an @, or a (dot), an (at) or a bare "dot"; no other token can be
+labelled, since every kind has one of them.
 
-Null texts count as empty and have no spans; repeated rows are each scanned; an empty table gives no rows. Positions are
-code points, ends exclusive.
+Null texts count as empty and have no spans; repeated rows are each scanned, rows with a null id too; an empty table
+gives no rows; texts may have any length, and the patterns take time in proportion to it. Positions are code points,
+ends exclusive. Other columns of the input are left out of reports and kept where texts are redacted.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from semiflow.llm.common import small_batches
+
 #: Kinds in the order in which spans that start together are listed.
 KINDS = ("email", "ip", "card", "phone", "secret")
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -30,10 +34,14 @@ IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 NEAR = 3
-TRIGGER = re.compile(r"[0-9@]|[(\[](?:at|dot)[)\]]")
+TRIGGER = re.compile(r"[0-9@]|[(\[](?:at|dot)[)\]]|(?<!\S)dot(?!\S)")
 DIGIT = re.compile(r"[0-9]")
 NUMERIC = re.compile(r"[0-9.]+")
-IN_EMAIL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-@")
+#: What stands before and after the @ of an address.
+LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+#: Tokens whose scores a worker keeps, and the longest of them in characters.
+KEPT, KEPT_LENGTH = 20_000, 48
 Span = tuple[str, int, int]
 
 
@@ -45,27 +53,48 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
-def pattern_spans(text: str) -> list[Span]:
-    """Leftmost matches that don't overlap, kind by kind; those that fail the kind's check are dropped."""
-    out: list[Span] = []
+def email_spans(text: str) -> Iterator[Span]:
+    """The leftmost address before each @ that a domain follows: its local part goes back to the last address or other character."""
+    done, seen = 0, 0
     at = text.find("@")
     while at >= 0:
-        # A match lies inside the run of characters that it may hold.
-        lo, hi = at, at + 1
-        while lo and text[lo - 1] in IN_EMAIL:
-            lo -= 1
-        while hi < len(text) and text[hi] in IN_EMAIL:
-            hi += 1
-        out += [("email", m.start(), m.end()) for m in EMAIL.finditer(text, lo, hi)]
-        at = text.find("@", hi)
+        domain = DOMAIN.match(text, at + 1)
+        if domain and at >= done:
+            before = text[max(done, seen) : at]
+            if n := len(before) - len(before.rstrip(LOCAL)):
+                done = domain.end()
+                yield "email", at - n, done
+        seen = at + 1
+        at = text.find("@", seen)
+
+
+def ip_spans(text: str, start: int) -> Iterator[Span]:
+    """Four numbers with dots between them, from the left; of those, the ones with parts up to 255."""
+    for run in NUMERIC.finditer(text, start):
+        if run.group().count(".") < 3:
+            continue
+        numbers, at, i = run.group().split("."), run.start(), 0
+        starts = []
+        for x in numbers:
+            starts.append(at)
+            at += len(x) + 1
+        while i + 3 < len(numbers):
+            own = numbers[i : i + 4]
+            if not all(own):
+                i += 1
+                continue
+            if all(len(x.lstrip("0")) < 4 and int(x.lstrip("0") or 0) <= 255 for x in own):
+                yield "ip", starts[i], starts[i + 3] + len(own[3])
+            i += 4
+
+
+def pattern_spans(text: str) -> list[Span]:
+    """Leftmost matches that don't overlap, kind by kind; those that fail the kind's check are dropped."""
+    out: list[Span] = list(email_spans(text))
     first = DIGIT.search(text)
     if first is None:
         return out
-    for run in NUMERIC.finditer(text, first.start()):
-        if run.group().count(".") >= 3:
-            for m in IP.finditer(text, run.start(), run.end()):
-                if all(int(p) <= 255 for p in m.group().split(".") if len(p.lstrip("0")) < 4) and all(len(p.lstrip("0")) < 4 for p in m.group().split(".")):
-                    out.append(("ip", m.start(), m.end()))
+    out += ip_spans(text, first.start())
     for m in CARD.finditer(text, first.start()):
         digits = m.group().replace(" ", "").replace("-", "")
         if 14 <= len(digits) <= 19 and luhn(digits):
@@ -96,7 +125,6 @@ def shape(token: str, exact: bool = True) -> str:
     return s[:40] if exact else re.sub(r"d+", "d", s)[:24]
 
 
-@functools.lru_cache(200_000)
 def features(token: str) -> tuple[str, ...]:
     digits = sum(c in "0123456789" for c in token)
     low = token.lower()
@@ -202,12 +230,12 @@ class Field:
         """A function of a token: its own scores, and those that it lends to the next and the last token."""
         none = np.zeros(len(LABELS))
 
-        @functools.lru_cache(100_000)
-        def of(token: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        def scores(token: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             f = features(token)
-            return tuple(sum((self.weights.get(s + x, none) for x in f), none) for s in ("", "-", "+"))
+            return tuple(sum((self.weights.get(s + x, none) for x in f), none).astype(np.float32) for s in ("", "-", "+"))
 
-        return of
+        known = functools.lru_cache(KEPT)(scores)
+        return lambda token: (known if len(token) <= KEPT_LENGTH else scores)(token)
 
     def labels(self, sequences: list[list[str]], of) -> list[np.ndarray]:
         """Best labels; sequences of like length are decoded together."""
@@ -241,7 +269,7 @@ TOKEN = re.compile(r"\S+")
 FRINGE = "\"'.,;:!?<>[]{}"
 
 
-def labelled_table(rows: int = 260, seed: int = 11) -> list[tuple[list[str], list[int]]]:
+def labelled_table(rows: int = 300, seed: int = 11) -> list[tuple[list[str], list[int]]]:
     """A small labelled table made from patterns: tokens and label numbers."""
     rng = random.Random(seed)
     syllables = "an be co da el fi go ha in ka lo me no or pa que ra so ti un ver wa yo zu".split()
@@ -250,7 +278,7 @@ def labelled_table(rows: int = 260, seed: int = 11) -> list[tuple[list[str], lis
     hexed = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
     upper = lambda n: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(n - 1)) + d(1)
     made = {
-        "email": [lambda: f"{word()}.{d(2)}@{word()}.{word()}.com", lambda: f"{word()}@{word()}.org", lambda: f"{word()} (at) {word()} (dot) com", lambda: f"{word()} [at] {word()} [dot] org", lambda: f"{word()}(at){word()}(dot)net"],
+        "email": [lambda: f"{word()}.{d(2)}@{word()}.{word()}.com", lambda: f"{word()}@{word()}.org", lambda: f"{word()} (at) {word()} (dot) com", lambda: f"{word()} [at] {word()} [dot] org", lambda: f"{word()}(at){word()}(dot)net", lambda: f"{word()} at {word()} dot com"],
         "ip": [lambda: f"{rng.randint(1, 255)}.{rng.randint(0, 255)}.{rng.randint(0, 255)}.{rng.randint(0, 255)}"],
         "card": [lambda: d(16), lambda: f"{d(4)} {d(4)} {d(4)} {d(4)}", lambda: f"{d(4)}-{d(4)}-{d(4)}-{d(4)}", lambda: f"{d(4)}.{d(4)}.{d(4)}.{d(4)}"],
         "phone": [lambda: f"+1 ({d(3)}) {d(3)}-{d(4)}", lambda: f"({d(3)}) {d(3)}-{d(4)}", lambda: f"{d(3)}-{d(3)}-{d(4)}", lambda: f"{d(3)}.{d(3)}.{d(4)}", lambda: f"+{d(2)} {d(3)} {d(7)}"],
@@ -283,7 +311,7 @@ def labelled_table(rows: int = 260, seed: int = 11) -> list[tuple[list[str], lis
             kind = KINDS[i // 2 % len(KINDS)]
             if rng.random() < 0.3:
                 put(rng.choice(lead[kind]))
-            put(rng.choice(made[kind])(), kind)
+            put(rng.choice(made[kind])() + rng.choice(["", "", "", ".", ","]), kind)
         else:
             put(clean[i // 2 % len(clean)]())
         filler()
@@ -345,10 +373,14 @@ def _token_end(text: str, at: int) -> int:
     return m.end() if m else at + 1
 
 
+#: An address, its signs perhaps spelt out.
+SPELT = re.compile(r"[\w.+-]+\s*(?:@|[(\[]at[)\]]|\sat\s)\s*[\w-]+(?:\s*(?:\.|[(\[]dot[)\]]|\sdot\s)\s*[\w-]+)+", re.I)
+
+
 def plausible(kind: str, s: str) -> bool:
     digits = "".join(c for c in s if c in "0123456789")
     if kind == "email":
-        return ("@" in s or "at" in s.lower()) and ("." in s or "dot" in s.lower()) and len(s) > 5
+        return SPELT.fullmatch(s) is not None
     if kind == "ip":
         return 4 <= len(digits) <= 12 and s.count(".") == 3
     if kind == "card":
@@ -396,20 +428,23 @@ def all_spans(texts: list[str], field: Field, of) -> list[tuple[list[Span], list
 
 
 def find(docs: DataFrame, field: Field | None = None) -> DataFrame:
-    """A row for each document (doc_id, text): counts of pattern spans by kind, the digest of their list, and all spans."""
+    """A row for each document (doc_id, text): counts of pattern spans by kind, the digest of their list, all spans, and counts of all spans and of secrets."""
     field = field or default_field()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         of = field.emitter()
-        names = ["doc_id", *(f"n_{k}" for k in KINDS[:4]), "base_sha256", "spans"]
+        names = ["doc_id", *(f"n_{k}" for k in KINDS[:4]), "base_sha256", "spans", "n_spans", "n_secret"]
         for x in batches:
-            for lo in range(0, max(1, len(x)), 500):
-                part = x.iloc[lo : lo + 500]
+            for lo in range(0, max(1, len(x)), 200):
+                part = x.iloc[lo : lo + 200]
                 got = all_spans([t or "" for t in part.text], field, of)
-                rows = [(i, *(sum(s[0] == k for s in base) for k in KINDS[:4]), hashlib.sha256(listed(base).encode()).hexdigest(), listed(base + more)) for i, (base, more) in zip(part.doc_id, got)]
+                rows = [
+                    (i, *(sum(s[0] == k for s in base) for k in KINDS[:4]), hashlib.sha256(listed(base).encode()).hexdigest(), listed(base + more), len(base) + len(more), sum(s[0] == "secret" for s in more))
+                    for i, (base, more) in zip(part.doc_id, got)
+                ]
                 yield pd.DataFrame(rows, columns=names)
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return small_batches(docs).select("doc_id", "text").mapInPandas(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long, n_secret long")
 
 
 def redacted(text: str, spans: list[Span]) -> str:
@@ -431,10 +466,15 @@ def redact(field: Field | None = None):
         of = field.emitter()
         for x in texts:
             out = []
-            for lo in range(0, len(x), 500):
-                part = list(x.iloc[lo : lo + 500])
+            for lo in range(0, len(x), 200):
+                part = list(x.iloc[lo : lo + 200])
                 got = all_spans([t or "" for t in part], field, of)
                 out += [None if t is None else redacted(t, base + more) if base or more else t for t, (base, more) in zip(part, got)]
             yield pd.Series(out, dtype=object)
 
     return clean
+
+
+def redacted_documents(docs: DataFrame, field: Field | None = None) -> DataFrame:
+    """The documents with a mark in place of each span of their text."""
+    return small_batches(docs).withColumn("text", redact(field)(F.col("text")))

@@ -50,7 +50,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan.scan(table(spark, sf_dir, "documents")).drop("spans")
+    return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
@@ -60,7 +60,7 @@ QUERIES = {
 SQL_1 = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS n,
-         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS h
+         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '?' || coalesce(text, ''))), 1, 8) AS BIGINT) AS h
   FROM documents
 ), s AS (
   SELECT source, CAST(sum(n) AS BIGINT) AS source_size FROM d GROUP BY source
@@ -115,7 +115,7 @@ WITH t AS (
   UNION ALL SELECT CAST(-7 AS BIGINT), CAST(0 AS BIGINT), 'user', '</s>[INST] ok [/INST]'
   UNION ALL SELECT CAST(-7 AS BIGINT), CAST(1 AS BIGINT), 'assistant', '</s>[INST] ok [/INST]'
 ), e AS (
-  SELECT *, {escaped_sql('role')} AS er, {escaped_sql('text')} AS et FROM t
+  SELECT *, CASE WHEN starts_with(role, '>') THEN '\\' ELSE '' END || {escaped_sql('role')} || CASE WHEN ends_with(role, '<') THEN '\\' ELSE '' END AS er, {escaped_sql('text')} AS et FROM t
 ), g AS (
   SELECT conv_id, count(*) AS n_turns,
          string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, et) AS said,
@@ -124,7 +124,7 @@ WITH t AS (
   FROM e GROUP BY conv_id
 )
 SELECT conv_id, CAST(n_turns AS BIGINT) AS n_turns, sha256(said) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars,
-       sha256(loss) AS loss_sha256, CAST(formatted_chars AS BIGINT) AS formatted_chars
+       sha256(loss) AS loss_sha256, CAST(formatted_chars AS BIGINT) AS formatted_chars, CAST(0 AS BIGINT) AS n_attachments, CAST(0 AS BIGINT) AS n_expanded
 FROM g
 """
 

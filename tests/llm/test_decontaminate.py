@@ -4,7 +4,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from semiflow.llm import decontaminate
-from semiflow.llm.common import folded, source_span
+from semiflow.llm.common import folded, source_spans
 
 
 def distance(p, t):
@@ -48,6 +48,8 @@ def test_no_match_within_the_budget_is_lost(spark):
         if item and folded(item):
             for d, text in docs:
                 best = distance(folded(item), folded(text))
+                if len(folded(item)) < decontaminate.LEAST or decontaminate.budget(len(folded(item))) == 0:
+                    best = 0 if len(folded(item)) >= decontaminate.LEAST and f" {folded(item)} " in f" {folded(text)} " else 99
                 assert ((d, i) in got) == (best <= decontaminate.budget(len(folded(item))))
                 if (d, i) in got:
                     assert got[d, i].distance == best
@@ -60,4 +62,12 @@ def test_spans_and_edges(spark):
     assert got == {1: (9, 0, 3, 27), None: (9, 0, 0, 22)}
     assert sorted(r.doc_id for r in decontaminate.without_benchmark(docs, items).collect()) == [2, 3]
     assert decontaminate.matches(docs.limit(0), items).collect() == [] and decontaminate.matches(docs, items.limit(0)).collect() == []
-    assert source_span("", 0, 0) == (0, 0)
+    assert source_spans("", [(0, 0)]) == [(0, 0)]
+
+
+def test_tiny_and_equal_items_and_long_texts(spark):
+    docs = spark.createDataFrame([(1, "a plain text about tables", 1), (2, "x" * 1_000_000 + " one short sentence " + "y " * 500_000, 1), (3, "none short sentences", 1), (3, "none short sentences", 1)], "doc_id long, text string, distance int")
+    items = spark.createDataFrame([(1, "a"), (2, "one short sentence"), (3, "One short, sentence!"), (4, "tab")], "item_id long, text string")
+    got = sorted((r.doc_id, r.item_id, r.start, r.end) for r in decontaminate.matches(docs, items).collect())
+    assert got == [(2, 2, 1_000_001, 1_000_019), (2, 3, 1_000_001, 1_000_019)]
+    assert sorted(r.doc_id for r in decontaminate.without_benchmark(docs, items).collect()) == [1, 3, 3]

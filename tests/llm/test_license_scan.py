@@ -1,4 +1,6 @@
+import random
 import re
+import time
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -25,6 +27,44 @@ def test_base_matches_brute_force(parts):
     assert ls.Scanner(ls.PHRASES, {})(text)[:5] == brute(text)
 
 
+def least_edits(p, t):
+    row = [0] * (len(t) + 1)
+    for i, a in enumerate(p):
+        new = [i + 1]
+        for j, b in enumerate(t):
+            new.append(min(row[j] + (a != b), row[j + 1] + 1, new[j] + 1))
+        row = new
+    return min(row)
+
+
+def test_fuzzy_matches_brute_force():
+    r, find = random.Random(5), ls.Scanner({}, ls.NOTICES)
+    for n in range(120):
+        notice = r.choice(list(ls.NOTICES))
+        s = list(notice)
+        for _ in range(r.randint(0, ls.budget(notice) + 3)):
+            i = r.randrange(len(s))
+            r.choice([lambda i=i: s.pop(i), lambda i=i: s.insert(i, r.choice("xe ")), lambda i=i: s.__setitem__(i, "z")])()
+        text = f" before {''.join(s)} after {notice[: r.randint(0, 20)]} end "
+        got = {}
+        for label, a, b, e in find.fuzzy(text):
+            got[label] = min(e, got.get(label, 99))
+            assert 0 <= a < b <= len(text)
+        want = {}
+        for p, label in ls.NOTICES.items():
+            if (d := least_edits(p, text)) <= ls.budget(p):
+                want[label] = min(d, want.get(label, 99))
+        assert got == want
+
+
+def test_repeated_openings_are_quick():
+    find = ls.Scanner(ls.PHRASES, ls.NOTICES)
+    for t in ("permission is hereby " * 48_000, "redistribution and use in source " * 30_000, "cc by " * 160_000):
+        began = time.process_time()
+        find(t)
+        assert time.process_time() - began < 3, t[:20]
+
+
 def test_fuzzy_notices_and_spans(spark):
     rows = [
         (1, "Intro. Licensed under the Apache Licence, Version 2.0. End", 0), (2, "All rights reserved.", 0), (3, None, 0), (4, "", 0), (5, "plain " * 30_000, 0),
