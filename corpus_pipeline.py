@@ -8,7 +8,6 @@ with `copies`, the times that it is taken.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from semiflow.llm import decontaminate, mixing, neardup, pii, toxicity
 from semiflow.llm.common import cut, table
@@ -18,9 +17,7 @@ ORACLE_SQL = None
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    every = F.lit(True)
-    of = toxicity.scorer(toxicity.learn(docs, table(spark, sf_dir, "labels"), every))
-    return docs.filter(of(F.col("text")) < 0.5)
+    return toxicity.without_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +29,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mark_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return docs.withColumn("text", pii.redact()(F.col("text")))
+    return pii.redacted_documents(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

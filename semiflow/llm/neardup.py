@@ -13,7 +13,8 @@ on their similarity allow. So every colliding pair is in one class, compared, or
 or by signatures that agree in far too few components.
 
 Null and empty texts, and texts without words, are classes of their own; rows with one doc_id are one document (that of the least text, if they differ); a null
-doc_id has a null class; an empty table gives no rows.
+doc_id has a null class; an empty table gives no rows. Texts may have any length: words are hashed in chunks, and a text
+costs memory in proportion to its distinct shingles. Columns of the documents may have any name.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from semiflow.llm.common import among, cut, folded_bytes, mixed, not_among
+from semiflow.llm.common import among, cut, folded_bytes, mixed, not_among, small_batches
 
 WORDS, LEAST, BANDS, ROWS = 5, 0.8, 30, 5
 #: Standard deviations by which an estimate from signatures may fall short of `least`: a link is lost once in 3 million.
@@ -49,6 +50,26 @@ class Powers:
         return self.up[:n], self.down[:n]
 
 
+#: Bytes of a text whose words are hashed at once (more, if a word is longer).
+CHUNK = 1 << 16
+
+
+def word_hashes(s: np.ndarray, powers: Powers) -> np.ndarray:
+    """Hashes of the words of a folded text, in order."""
+    gaps, out, lo = np.flatnonzero(s == 32), [], 0
+    while lo < len(s):
+        k = np.searchsorted(gaps, lo + CHUNK)
+        hi = int(gaps[k]) if k < len(gaps) else len(s)
+        up, down = powers.to(hi - lo + 1)
+        upto = np.zeros(hi - lo + 1, np.uint64)
+        np.cumsum((s[lo:hi].astype(np.uint64) + np.uint64(1)) * up[:-1], out=upto[1:])
+        cuts = gaps[np.searchsorted(gaps, lo) : k] - lo
+        first, end = np.concatenate([[0], cuts + 1]), np.concatenate([cuts, [hi - lo]])
+        out.append(mixed((upto[end] - upto[first]) * down[first]))
+        lo = hi + 1
+    return np.concatenate(out)
+
+
 def shingle_hashes(text: str, powers: Powers, words: int = WORDS) -> np.ndarray:
     """Hashes of the text's shingles, in order."""
     s, _ = folded_bytes(text)
@@ -56,12 +77,7 @@ def shingle_hashes(text: str, powers: Powers, words: int = WORDS) -> np.ndarray:
         s = s[:-1]
     if not len(s):
         return np.zeros(0, np.uint64)
-    up, down = powers.to(len(s) + 1)
-    upto = np.zeros(len(s) + 1, np.uint64)
-    np.cumsum((s.astype(np.uint64) + np.uint64(1)) * up[:-1], out=upto[1:])
-    gaps = np.flatnonzero(s == 32)
-    first, end = np.concatenate([[0], gaps + 1]), np.concatenate([gaps, [len(s)]])
-    w = mixed((upto[end] - upto[first]) * down[first])
+    w = word_hashes(s, powers)
     n = max(1, len(w) - words + 1)
     out = np.zeros(n, np.uint64)
     for i in range(min(words, len(w))):
@@ -122,8 +138,8 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFra
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         powers = Powers()
         for b in batches:
-            for lo in range(0, len(b), 200):
-                x = b.iloc[lo : lo + 200]
+            for lo in range(0, len(b), 100):
+                x = b.iloc[lo : lo + 100]
                 at, one, two, sig, key = sketches(list(x.text), powers, bands, rows)
                 out = pd.DataFrame({"doc_id": x.doc_id.values, "one": pd.array([None] * len(x), "Int64"), "two": pd.array([None] * len(x), "Int64"), "keys": None})
                 out.loc[at, "one"], out.loc[at, "two"] = one, two
@@ -131,7 +147,7 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFra
                 keys[at], sigs[at] = list(key), list(sig)
                 yield out.assign(keys=keys, sig=sigs)
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, one long, two long, keys array<long>, sig array<smallint>")
+    return small_batches(docs).select("doc_id", "text").mapInPandas(run, "doc_id long, one long, two long, keys array<long>, sig array<smallint>")
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
@@ -143,7 +159,7 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
         for x in texts:
             yield pd.Series([np.unique((shingle_hashes(t or "", powers) >> np.uint64(32)).astype(np.uint32)).view(np.int32) for t in x])
 
-    return docs.select("doc_id", of(F.col("text")).alias("shingles"))
+    return small_batches(docs).select("doc_id", of(F.col("text")).alias("shingles"))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, least: float, per_copy: int = 200) -> DataFrame:

@@ -29,9 +29,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from semiflow.llm.common import by_length, held_out
+from semiflow.llm.common import by_length, held_out, small_batches
 
-DECAY, REACH, LONGEST, KEPT = 0.6, 5, 24, 150_000
+DECAY, REACH, LONGEST, KEPT = 0.6, 5, 24, 20_000
 SIZE = 64**3
 #: Landmarks that are to be found for each toxic text of the sample.
 COVER = 3
@@ -299,7 +299,7 @@ def scorer(model: Model):
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         of = model.scorer()
         for x in texts:
-            yield pd.Series(np.concatenate([of(list(x.iloc[i : i + 500])) for i in range(0, len(x), 500)] or [np.zeros(0)]), dtype=float)
+            yield pd.Series(np.concatenate([of(list(x.iloc[i : i + 100])) for i in range(0, len(x), 100)] or [np.zeros(0)]), dtype=float)
 
     return score
 
@@ -308,5 +308,11 @@ def rate(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """A row for each document: doc_id, held_out, score, predicted. Rows that are held out teach nothing."""
     out = held_out(F.col("doc_id"))
     of = scorer(learn(docs, labels, ~out))
-    x = docs.select("doc_id", out.alias("held_out"), of(F.col("text")).alias("score"))
+    x = small_batches(docs).select("doc_id", out.alias("held_out"), of(F.col("text")).alias("score"))
     return x.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The documents that score under 0.5 after learning from all labels."""
+    of = scorer(learn(docs, labels, F.lit(True)))
+    return small_batches(docs).filter(of(F.col("text")) < 0.5)
