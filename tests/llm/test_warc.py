@@ -1,4 +1,5 @@
 import base64
+import gzip
 import hashlib
 import random
 
@@ -45,8 +46,37 @@ def test_archives_are_warc(spark):
     at = scratch(spark, "warc")
     warc.write(spark.createDataFrame([(1, "http://a.org/", "<b>")], "page_id long, url string, html string"), at)
     raw = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(at).first().content
-    ((head, block),) = list(warc.records(warc.zlib.decompress(bytes(raw), 31)))
+    ((head, block),) = list(warc.records(bytes(raw)))
     assert head["WARC-Type"] == "response" and block == b"<b>" and head["Content-Length"] == "3"
+    assert head["WARC-Record-ID"].startswith("<urn:uuid:")
+
+
+def test_each_record_is_a_gzip_member(spark):
+    at = scratch(spark, "warc")
+    pages = [(i, f"http://a.org/{i}", f"<p>é{i % 5}</p>" * i) for i in range(40)]
+    warc.write(spark.createDataFrame(pages, "page_id long, url string, html string"), at)
+    n = 0
+    for f in spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(at).collect():
+        raw, own = bytes(f.content), list(warc.members(bytes(f.content)))
+        assert gzip.decompress(raw) == b"".join(own)
+        assert all(m.startswith(b"WARC/1.1\r\n") and m.endswith(b"\r\n\r\n") for m in own)
+        n += len(own)
+    assert n == 40
+
+
+def test_members_of_any_length():
+    for raw in (b"", b"x", b"y" * 100_000, bytes(17_000_000)):
+        one = warc.member(raw) + b"\0"
+        assert b"".join(warc.members(one + one)) == raw + raw and gzip.decompress(one) == raw
+
+
+def test_many_ranges_keep_the_order(spark, monkeypatch):
+    monkeypatch.setattr(warc, "RANGE_ROWS", 50)
+    pages = [(i, "http://hot.org/" if i % 3 else f"http://b{i % 17}.org/", f"{i % 50}") for i in range(600)]
+    got = warc.archived(spark.createDataFrame(pages, "page_id long, url string, html string"))
+    assert got.rdd.getNumPartitions() > 8
+    keys = [(r.url_key, r.ts, r.page_id) for r in got.collect()]
+    assert len(keys) == 600 and keys == sorted(keys)
 
 
 def test_times(spark):
