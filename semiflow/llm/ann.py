@@ -3,13 +3,16 @@
 A graph joins each vector of a bounded sample with its nearest; it is split into balanced parts by moving vertices to
 the part of most of their neighbours while there is room; a softmax classifier learns each vector's part. It then puts
 every vector of the table into its most probable part, and sends a query to its several most probable parts, whose
-vectors are compared with it exactly: the most probable one first, whose k-th score bounds what the others need to give. How many parts a query visits is set on the sample, by recall against brute force.
+vectors are compared with it exactly: the most probable one first, whose k-th score bounds what the others need to give.
+How many parts a query visits is set on the sample, by recall against brute force. Tables of any size are searched so:
+n vectors make sqrt(n) / 2 parts, as far as the sample has PER_PART vectors for each. Parts are packed into bins, which
+tasks compare with the queries that visit any of their parts, each with the parts that it visits.
 
 Nearness is the inner product, in double precision, added up from the first component to the last; ties go to the
-smaller vec_id. Vectors that are null, zero, hold null or non-finite components, or have another length than the longest
-take no part; rows with a query's own vec_id are not its candidates; repeated rows count each as
-candidates and once as a query (the least vector, if they differ). An empty table gives no
-rows. Tables under 2 * PER_PART vectors form one part, which makes the search exact.
+smaller vec_id. Vectors that are null, zero, or hold null or non-finite components take no part. Inner products need
+equal lengths: vectors of another length than most are searched among their own, with an index for each length. Rows
+with a query's own vec_id are not its candidates; repeated rows count each as candidates and once as a query (the least
+vector, if they differ); rows with a null vec_id take no part. An empty table gives no rows. Other columns are left out.
 """
 
 from __future__ import annotations
@@ -22,9 +25,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from semiflow.llm.common import cut, id_fraction
+from semiflow.llm.common import cut, id_fraction, small_batches
 
-PER_PART = 2_000
+#: Vectors of the sample for each part, the sample's size, and the recall on it for which visits are set.
+PER_PART, SAMPLE, GOAL = 40, 16_000, 0.94
 #: Candidates and queries that one task compares.
 BLOCK, QUERIES = 6_000, 2_000
 
@@ -32,10 +36,10 @@ BLOCK, QUERIES = 6_000, 2_000
 def neighbour_graph(x: np.ndarray, k: int) -> np.ndarray:
     """The k largest inner products of each row with other rows."""
     out = np.zeros((len(x), k), np.int64)
-    for lo in range(0, len(x), 512):
-        s = x[lo : lo + 512] @ x.T
+    for lo in range(0, len(x), 256):
+        s = x[lo : lo + 256] @ x.T
         s[np.arange(len(s)), np.arange(lo, lo + len(s))] = -np.inf
-        out[lo : lo + 512] = np.argpartition(-s, k - 1, axis=1)[:, :k]
+        out[lo : lo + 256] = np.argpartition(-s, k - 1, axis=1)[:, :k]
     return out
 
 
@@ -100,7 +104,7 @@ class Router:
         return np.argsort(-self.logits(x), axis=1, kind="stable")
 
 
-def train(x: np.ndarray, parts: int, k: int = 20, goal: float = 0.97, steps: int = 300) -> Router:
+def train(x: np.ndarray, parts: int, k: int = 20, goal: float = GOAL, steps: int = 300) -> Router:
     dim = x.shape[1]
     scale = 1 / max(1e-12, float(np.sqrt((x**2).mean())))
     if parts < 2:
@@ -131,42 +135,61 @@ def usable(rows: DataFrame) -> DataFrame:
     """(vec_id, embedding) of the vectors that take part."""
     e = F.col("embedding")
     bad = F.exists(e, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
-    ok = rows.select("vec_id", e.cast("array<double>").alias("embedding")).filter(F.col("vec_id").isNotNull() & e.isNotNull()).filter(~bad & F.exists(e, lambda v: v != 0))
-    dim = ok.agg(F.max(F.size("embedding"))).first()[0]
-    return ok.filter(F.size("embedding") == (dim or 0))
+    return rows.select("vec_id", e.cast("array<double>").alias("embedding")).filter(F.col("vec_id").isNotNull() & e.isNotNull()).filter(~bad & F.exists(e, lambda v: v != 0))
 
 
 def nearest(q_id: np.ndarray, q: np.ndarray, c_id: np.ndarray, c: np.ndarray, k: int, bound: np.ndarray) -> list[tuple[int, int, float]]:
     """(query, candidate, score) of each query's k nearest among the candidates, without those below its bound."""
     out = []
     ct = np.ascontiguousarray(c.T)
-    for lo in range(0, len(q), 32):
-        s = np.zeros((len(q[lo : lo + 32]), len(c)))
+    for lo in range(0, len(q), 256):
+        s = np.zeros((len(q[lo : lo + 256]), len(c)))
         for d in range(len(ct)):
-            s += q[lo : lo + 32, d, None] * ct[d]
-        s[q_id[lo : lo + 32, None] == c_id[None, :]] = -np.inf
-        for i, row in enumerate(s):
-            least = np.partition(row, len(row) - k)[len(row) - k] if len(row) > k else -np.inf
-            at = np.flatnonzero((row >= max(least, bound[lo + i])) & (row > -np.inf))
-            at = at[np.lexsort((c_id[at], -row[at]))][:k]
-            out += [(int(q_id[lo + i]), int(c_id[j]), float(row[j])) for j in at]
+            s += q[lo : lo + 256, d, None] * ct[d]
+        s[q_id[lo : lo + 256, None] == c_id[None, :]] = -np.inf
+        least = bound[lo : lo + 256].copy()
+        if s.shape[1] > k:
+            least = np.maximum(least, np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k])
+        row, col = np.nonzero((s >= least[:, None]) & (s > -np.inf))
+        score = s[row, col]
+        order = np.lexsort((c_id[col], -score, row))
+        row, col, score = row[order], col[order], score[order]
+        first = np.searchsorted(row, np.arange(len(s)))
+        ok = np.arange(len(row)) - first[row] < k
+        out += zip(q_id[lo + row[ok]].tolist(), c_id[col[ok]].tolist(), score[ok].tolist())
     return out
 
 
-def search(rows: DataFrame, k: int = 20, every: int = 20, sample: int = 8_000) -> DataFrame:
+def packed(sizes: dict[int, int]) -> dict[int, int]:
+    """A bin for each part: parts in order, as many as together have BLOCK vectors at most."""
+    out, at, n = {}, 0, 0
+    for p in sorted(sizes):
+        if n and n + sizes[p] > BLOCK:
+            at, n = at + 1, 0
+        out[p] = at
+        n += sizes[p]
+    return out
+
+
+def search(rows: DataFrame, k: int = 20, every: int = 20, sample: int = SAMPLE) -> DataFrame:
     """The k nearest found of each query (a row whose vec_id is divisible by `every`): query_id, rank, vec_id, score.
 
-    The index is fitted on about `sample` vectors, chosen by a hash of their id, and holds every vector.
+    The index of each length is fitted on about `sample` vectors, chosen by a hash of their id, and holds every vector.
     """
-    spark = rows.sparkSession
     vectors = usable(rows)
-    n = vectors.count()
-    if not n:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    out = None
+    for length, n in vectors.groupBy(F.size("embedding").alias("n")).agg(F.count("*")).orderBy("n").collect():
+        part = search_length(vectors.filter(F.size("embedding") == length), n, k, every, sample)
+        out = part if out is None else out.union(part)
+    return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double") if out is None else out
+
+
+def search_length(vectors: DataFrame, n: int, k: int, every: int, sample: int) -> DataFrame:
+    """search() over n vectors of one length."""
+    small_batches(vectors)
     chosen = vectors.filter(id_fraction(F.col("vec_id")) < sample / n).limit(2 * sample).select("embedding")
     x = np.array([r[0] for r in chosen.collect()] or [vectors.first()[1]])
-    parts = min(n // PER_PART, len(x) // 40)
-    router = train(x, max(1, parts), k)
+    router = train(x, max(1, min(round(n**0.5 / 2), len(x) // PER_PART)), k)
 
     def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -174,12 +197,17 @@ def search(rows: DataFrame, k: int = 20, every: int = 20, sample: int = 8_000) -
                 yield b.assign(part=router.part(np.stack(b.embedding.to_numpy())).astype(np.int32))
 
     index = cut(vectors.mapInPandas(put, "vec_id long, embedding array<double>, part int"), "ann-index")
-    # One row for each part, of which there are at most sample / 40.
-    sizes = {p: (c, q) for p, c, q in index.groupBy("part").agg(F.count("*"), F.count(F.when(F.col("vec_id") % every == 0, 1))).collect()}
-    splits = {p: c // BLOCK + 1 for p, (c, _) in sizes.items()}
-    asked = max(1, sum(q for _, q in sizes.values()) * router.probes // max(1, len(sizes)) // QUERIES)
-    #: Lots of queries in each part, at the first and at the further parts that queries visit.
-    lots = {p: q // QUERIES + 1 for p, (_, q) in sizes.items()}, dict.fromkeys(sizes, asked)
+    # One row for each part, of which there are at most sample / PER_PART.
+    sizes = dict(index.groupBy("part").agg(F.count("*")).collect())
+    asked = index.filter(F.col("vec_id") % every == 0).select("vec_id").distinct().count()
+    bins = packed(sizes)
+    full: dict[int, int] = {}
+    for p, b in bins.items():
+        full[b] = full.get(b, 0) + sizes[p]
+    # A bin of one large part is split; lots of queries go to copies of a bin.
+    splits = {b: c // BLOCK + 1 for b, c in full.items()}
+    #: At first a query visits one bin, and then the bins of the further parts.
+    lots = {b: asked * c // n // QUERIES + 1 for b, c in full.items()}, dict.fromkeys(full, asked // QUERIES + 1)
 
     def sender(turn: int):
         """Sends queries to their most probable part (turn 0), or to the others that they visit (turn 1)."""
@@ -191,31 +219,44 @@ def search(rows: DataFrame, k: int = 20, every: int = 20, sample: int = 8_000) -
                 out = []
                 for i, e, least, order in zip(b.vec_id, b.embedding, b.bound, router.route(np.stack(b.embedding.to_numpy()))):
                     seen = got = 0
+                    visits: dict[int, list[int]] = {}
                     for p in order.tolist():
                         if p in sizes:
                             if turn == (got > k):
-                                out += [(i, e, least, p, s, i // every % lots[turn][p]) for s in range(splits[p])]
-                            seen, got = seen + 1, got + sizes[p][0]
+                                visits.setdefault(bins[p], []).append(p)
+                            seen, got = seen + 1, got + sizes[p]
                             if got > k and (seen >= router.probes or not turn):
                                 break
-                yield pd.DataFrame(out, columns=["vec_id", "embedding", "bound", "part", "block", "lot"])
+                    for c, parts in visits.items():
+                        out += [(i, e, least, parts, c, s, i // every % lots[turn][c]) for s in range(splits[c])]
+                yield pd.DataFrame(out, columns=["vec_id", "embedding", "bound", "parts", "bin", "block", "lot"])
 
         return send
 
     def compare(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         got = []
         if len(q) and len(c):
-            got = nearest(q.vec_id.to_numpy(), np.stack(q.embedding.to_numpy()), c.vec_id.to_numpy(), np.stack(c.embedding.to_numpy()), k, q.bound.to_numpy())
+            ids, vecs, bound = q.vec_id.to_numpy(), np.stack(q.embedding.to_numpy()), q.bound.to_numpy()
+            c = c.sort_values("part", kind="stable")
+            cids, cvecs, parts = c.vec_id.to_numpy(), np.stack(c.embedding.to_numpy()), c.part.to_numpy()
+            visits = np.repeat(np.arange(len(q)), q.parts.map(len).to_numpy())
+            wanted = np.concatenate(q.parts.to_list())
+            for p in np.unique(parts):
+                own = visits[wanted == p]
+                lo, hi = np.searchsorted(parts, p), np.searchsorted(parts, p, "right")
+                if len(own):
+                    got += nearest(ids[own], vecs[own], cids[lo:hi], cvecs[lo:hi], k, bound[own])
         return pd.DataFrame(got, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
-    def of_part(values: dict[int, int]):
-        return F.element_at(F.create_map(*[F.lit(v) for kv in values.items() for v in kv]), F.col("part"))
+    def of(values: dict[int, int], key: str):
+        return F.element_at(F.create_map(*[F.lit(v) for kv in values.items() for v in kv]), F.col(key))
 
     def found(queries: DataFrame, turn: int) -> DataFrame:
-        sent = queries.mapInPandas(sender(turn), "vec_id long, embedding array<double>, bound double, part int, block int, lot int")
-        cands = index.withColumn("block", F.pmod(F.xxhash64("vec_id", "embedding"), of_part(splits).cast("long")).cast("int"))
-        cands = cands.withColumn("lot", F.explode(F.sequence(F.lit(0), of_part(lots[turn]) - 1)))
-        keys = ("part", "block", "lot")
+        sent = queries.mapInPandas(sender(turn), "vec_id long, embedding array<double>, bound double, parts array<int>, bin int, block int, lot int")
+        cands = index.withColumn("bin", of(bins, "part"))
+        cands = cands.withColumn("block", F.pmod(F.xxhash64("vec_id", "embedding"), of(splits, "bin").cast("long")).cast("int"))
+        cands = cands.withColumn("lot", F.explode(F.sequence(F.lit(0), of(lots[turn], "bin") - 1)))
+        keys = ("bin", "block", "lot")
         return sent.groupBy(*keys).cogroup(cands.groupBy(*keys)).applyInPandas(compare, "query_id long, vec_id long, score double")
 
     def best(x: DataFrame) -> DataFrame:

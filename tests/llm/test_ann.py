@@ -15,11 +15,11 @@ def brute(ids, x, k=20, every=20):
     return out
 
 
-def test_small_tables_are_exact(spark):
+def test_one_part_is_exact(spark):
     r = np.random.default_rng(0)
-    x = r.normal(size=(90, 8)).astype(np.float32)
+    x = r.normal(size=(60, 8)).astype(np.float32)
     x[10:20] = x[10]
-    ids = list(range(90))
+    ids = list(range(60))
     df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in zip(ids, x)], SCHEMA)
     got = {}
     for row in ann.search(df).collect():
@@ -30,21 +30,42 @@ def test_small_tables_are_exact(spark):
         assert got[q][1][1] == sum(float(a) * float(b) for a, b in zip(x[q], x[got[q][1][0]]))
 
 
-def test_recall_of_many_parts(spark, monkeypatch):
-    monkeypatch.setattr(ann, "PER_PART", 250)
+def recall(spark, ids, x, **more):
+    df = spark.createDataFrame([(int(i), v.tolist(), 0) for i, v in zip(ids, x)], SCHEMA)
+    got = {}
+    for row in ann.search(df, **more).collect():
+        got.setdefault(row.query_id, set()).add(row.vec_id)
+    x, hit, asked = x.astype(float), 0, [i for i in range(len(ids)) if ids[i] % 20 == 0]
+    for i in asked:
+        s = x @ x[i]
+        s[i] = -np.inf
+        hit += len(got[ids[i]] & set(np.asarray(ids)[np.argsort(-s, kind="stable")[:20]].tolist()))
+    return hit / (20 * len(asked))
+
+
+def test_recall_of_many_parts(spark):
     r = np.random.default_rng(1)
     centre = r.normal(size=(12, 24))
     x = (centre[r.integers(0, 12, 4000)] + 0.7 * r.normal(size=(4000, 24))).astype(np.float32)
-    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], SCHEMA)
-    got = {}
-    for row in ann.search(df, sample=2000).collect():
-        got.setdefault(row.query_id, set()).add(row.vec_id)
-    s = x[::20].astype(float) @ x.T.astype(float)
-    hit = 0
-    for i, q in enumerate(range(0, 4000, 20)):
-        s[i, q] = -np.inf
-        hit += len(got[q] & set(np.argsort(-s[i])[:20].tolist()))
-    assert len(got) == 200 and hit >= 0.9 * 200 * 20
+    assert recall(spark, list(range(4000)), x, sample=2000) >= 0.9
+    router = ann.train(x[:2000].astype(float), 32)
+    assert router.probes <= 8  # clustered vectors are found in few parts
+
+
+def test_recall_on_the_table(spark):
+    """With routing: sf0.1 makes 22 parts. Its vectors have no clusters, so that a query visits most of them."""
+    rows = table(spark, "/root/testdata/sf0.1", "embeddings").collect()
+    ids, x = [r.vec_id for r in rows], np.array([r.embedding for r in rows], np.float32)
+    router = ann.train(x.astype(float), round(len(x) ** 0.5 / 2))
+    assert router.weights.shape[1] >= 20 and router.probes < router.weights.shape[1]
+    assert recall(spark, ids, x) >= 0.9
+
+
+def test_large_parts_are_split(spark, monkeypatch):
+    monkeypatch.setattr(ann, "BLOCK", 30)
+    monkeypatch.setattr(ann, "QUERIES", 3)
+    x = np.random.default_rng(5).normal(size=(800, 6)).astype(np.float32)
+    assert recall(spark, list(range(800)), x) >= 0.9
 
 
 def test_parts_are_balanced():
@@ -60,4 +81,13 @@ def test_unusable_vectors_and_few_candidates(spark):
     got = [(r.query_id, r["rank"], r.vec_id) for r in ann.search(spark.createDataFrame(rows, SCHEMA)).collect()]
     assert sorted(got) == [(0, 1, 20), (0, 2, 20), (0, 3, 1), (0, 4, 7), (0, 5, 7), (20, 1, 0), (20, 2, 1), (20, 3, 7), (20, 4, 7)]
     assert ann.search(spark.createDataFrame([], SCHEMA)).collect() == []
-    assert table is not None
+
+
+def test_stray_lengths_cost_no_vector(spark):
+    x = np.random.default_rng(6).normal(size=(41, 5)).astype(np.float32)
+    rows = [(i, v.tolist(), 0, 7, "p") for i, v in enumerate(x)] + [(100, [1.0] * 9, 0, 7, "p"), (120, [1.0, 2.0], 0, 7, "p"), (121, [2.0, 2.0], 0, 7, "p")]
+    df = spark.createDataFrame(rows, SCHEMA + ", rank int, part string")
+    got = {}
+    for r in ann.search(df).collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert {q: len(v) for q, v in got.items()} == {0: 20, 20: 20, 40: 20, 120: 1} and got[120] == [121]
