@@ -3,16 +3,22 @@
 A text is a bag of units: its words (A-Z and other letters lowered, signs and digits inside removed, so that inserted
 characters go), the parts between signs, and runs of single letters joined. The kernel of two units is the cosine of
 their weighted counts of three-character subsequences; a subsequence that spans s characters more than three weighs
-DECAY ** s, up to REACH characters. Landmarks are the units that together cover the sample's toxic texts, several times
-where they can, while staying out of the others (near copies count as one), and clean units near them; the linear machine is fitted on the landmarks' Nyström features. A
-text's value is that of its highest unit, put on a scale of probability by a logistic fit.
-
-As the machine is linear in the landmarks' feature vectors, it folds into one weight for each subsequence: scoring is a
-table look-up for each unit, exactly equal to the sum over landmarks.
-
-Texts that are null, empty or without letters get the lowest value's probability. If the sample has one class only, all
-scores are 0. Repeated rows get equal scores, an empty table gives no rows. Units over LONGEST letters are taken in
-overlapping parts.
+DECAY ** s, up to REACH characters. Kernels count by what they have over FLOOR: units less alike say nothing. Landmarks
+are the units that together cover the sample's toxic texts, COVER times where
+they can, while staying out of the others (near copies count as one), and the clean units nearest to them. They are
+looked for round by round, each among the CANDIDATES best units of the texts still uncovered, until a round finds none:
+so their number follows the insults of the sample. A linear machine on the landmarks' Nyström features learns from the
+labelled texts: a text's value is that of its highest unit, so that one insult in a long text tells, and a toxic text
+must have a unit over the margin, a clean one none (the units that stand for toxic texts and the machine are found in
+turn, until they stay). A logistic fit puts values on a scale of probability.
+
+Scoring folds landmarks into tables of each subsequence's largest weight in any of them, which bound a unit's kernel with
+all of them, or with a lot of like ones, at once: only units whose bound reaches FLOOR are compared with each landmark.
+
+Texts that are null, empty or without letters have no units and get the value of such. If the sample has one class only,
+all scores are 0. Repeated rows get equal scores, an empty table gives no rows; a doc_id with several labels has the
+highest. Units over LONGEST letters are taken in overlapping parts; texts may have any length. Columns of the documents
+may have any name.
 """
 
 from __future__ import annotations
@@ -26,15 +32,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from semiflow.llm.common import by_length, held_out, small_batches
 
 DECAY, REACH, LONGEST, KEPT = 0.6, 5, 24, 20_000
 SIZE = 64**3
-#: Landmarks that are to be found for each toxic text of the sample.
-COVER = 3
+#: Landmarks that are to be found for each toxic text of the sample; units that a round of the search compares.
+COVER, CANDIDATES = 3, 300
+#: The least kernel of a unit and a landmark that counts; turns in which toxic texts choose their units anew.
+FLOOR, ROUNDS = 0.45, 10
+#: Landmarks whose bounds are taken together.
+LOT = 32
 #: Offsets of a subsequence's second and third character, and its weight.
 SHAPES = [(a, b, DECAY ** (b - 2)) for b in range(2, REACH) for a in range(1, b)]
 #: ASCII without letters and blanks.
@@ -67,7 +77,7 @@ def units_of(text: str) -> set[str]:
 def symbols(c: np.ndarray) -> np.ndarray:
     """Numbers under 64 of the characters of units in rows, with marks at both ends."""
     c = c.astype(np.int64)
-    s = np.where((c >= 97) & (c <= 122), c - 96, 29 + c % 35)
+    s = np.where((c >= 97) & (c <= 122), c - 96, 29 + (c * 2654435761 >> 7) % 35)
     ends = np.full((len(c), 1), 27)
     return np.hstack([ends, s, ends + 1])
 
@@ -144,44 +154,86 @@ def logistic(v: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, f
     return float(b[0]), float(b[1])
 
 
+class Landmarks:
+    """Kernels of units and texts with fixed units."""
+
+    def __init__(self, units: list[str]):
+        self.units = units
+        #: Landmarks in lots of like ones: places, each subsequence's row in `marks`, its weight in each landmark, its largest.
+        self.lots: list[tuple[list[int], np.ndarray, np.ndarray, np.ndarray]] = []
+        order = sorted(range(len(units)), key=units.__getitem__)
+        for lo in range(0, len(order), LOT):
+            places = order[lo : lo + LOT]
+            own = [units[i] for i in places]
+            columns = np.full(SIZE, -1, np.int32)
+            codes = np.unique(np.concatenate([np.unique(subsequences(c)[0]) for _, c in by_length(own, LONGEST)]))
+            columns[codes] = np.arange(len(codes))
+            marks = np.vstack([features(own, columns).T, np.zeros((1, len(own)), np.float32)])
+            columns[columns < 0] = len(codes)
+            self.lots.append((places, columns, marks, marks.max(1)[columns]))
+        self.top = np.max([top for *_, top in self.lots], axis=0)
+
+    def near(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the units that are FLOOR or more alike to a landmark, and a row for each: its kernel with every landmark, less FLOOR."""
+        places, rows = [], []
+        for at, c in by_length(units, LONGEST):
+            codes, w = subsequences(c)
+            if not codes.shape[1]:
+                continue
+            w = w.astype(np.float32)
+            # A vector is at least as long as if no subsequence came twice.
+            least = (FLOOR - 1e-4) * math.sqrt((w**2).sum())
+            high = np.flatnonzero(self.top[codes] @ w >= least)
+            if not len(high):
+                continue
+            codes = codes[high]
+            k = np.zeros((len(high), len(self.units)), np.float32)
+            for own, columns, marks, top in self.lots:
+                ok = np.flatnonzero(top[codes] @ w >= least)
+                if len(ok):
+                    col, dot = columns[codes[ok]], np.zeros((len(ok), len(own)), np.float32)
+                    for j, v in enumerate(w):
+                        dot += v * marks[col[:, j]]
+                    k[np.ix_(ok, own)] = dot
+            ok = np.flatnonzero(k.max(1) >= least)
+            k = k[ok] / norms(codes[ok], w)[:, None].astype(np.float32)
+            real = k.max(1) >= FLOOR
+            places.append(at[high[ok[real]]])
+            rows.append(np.maximum(k[real] - FLOOR, 0) / (1 - FLOOR))
+        if not places:
+            return np.zeros(0, np.int64), np.zeros((0, len(self.units)), np.float32)
+        return np.concatenate(places), np.concatenate(rows)
+
+
 @dataclass
 class Model:
-    #: Weight of each subsequence (float32, 64**3), the offset, the slope and offset of the probability.
-    table: np.ndarray | None
+    #: None if there was one class only; then the weight of each landmark, the offset, the slope and offset of the probability.
+    landmarks: Landmarks | None
+    weights: np.ndarray | None = None
     offset: float = 0.0
     slope: float = 0.0
     shift: float = 0.0
-    landmarks: tuple[str, ...] = ()
-    LOWEST = -2.0
-
-    def unit_values(self, units: list[str]) -> np.ndarray:
-        out = np.full(len(units), self.LOWEST)
-        for at, c in by_length(units, LONGEST):
-            codes, w = subsequences(c)
-            if not codes.shape[1]:
-                continue
-            dot = self.table[codes] @ w
-            # A vector is at least as long as if no subsequence came twice; only units that could rise need its length.
-            high = np.flatnonzero(dot / math.sqrt((w**2).sum()) + self.offset > -1)
-            if len(high):
-                out[at[high]] = np.maximum(self.LOWEST, dot[high] / norms(codes[high], w) + self.offset)
-        return out
 
     def probability(self, v: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * v + self.shift, -50, 50)))
 
     def scorer(self):
+        #: Of the units seen, those that are near a landmark.
+        seen: set[str] = set()
         known: dict[str, float] = {}
 
         def score(texts: list[str | None]) -> np.ndarray:
-            if self.table is None:
+            if self.landmarks is None:
                 return np.zeros(len(texts))
-            if len(known) > KEPT:
+            if len(seen) > KEPT:
+                seen.clear()
                 known.clear()
-            each = [units_of(t) if t else () for t in texts]
-            if new := list(set().union(*each) - known.keys()):
-                known.update(zip(new, self.unit_values(new).tolist()))
-            return self.probability(np.array([max(map(known.__getitem__, u), default=self.LOWEST) for u in each]))
+            each = [units_of(t) if t else set() for t in texts]
+            if new := list(set().union(*each) - seen):
+                at, rows = self.landmarks.near(new)
+                known.update(zip((new[i] for i in at), (rows @ self.weights + self.offset).tolist()))
+                seen.update(new)
+            return self.probability(np.array([max((known[u] for u in d & known.keys()), default=self.offset) for d in each]))
 
         return score
 
@@ -198,7 +250,65 @@ def copies_weight(docs: list[set[str]]) -> np.ndarray:
     return np.array([1 / size[k] for k in keys])
 
 
-def fit(texts: list[str], toxic: list[int], clean_weight: float = 1.0, candidates: int = 300, most: int = 64, near: float = 0.6, same: float = 0.8) -> Model:
+def above(kernel: float) -> float:
+    """A kernel as Landmarks.near gives it."""
+    return (kernel - FLOOR) / (1 - FLOOR) - 1e-6
+
+
+def found_landmarks(docs: list[set[str]], y: np.ndarray, near: float, same: float) -> tuple[list[str], list[str]]:
+    """Units that cover the toxic texts, and the clean units nearest to them."""
+    outside = Counter(u for d, t in zip(docs, y) if not t for u in d)
+    clean, n_out = sorted(outside), int((1 - y).sum())
+    toxic = [d for d, t in zip(docs, y) if t]
+    weight, against = copies_weight(toxic), copies_weight([d for d, t in zip(docs, y) if not t])
+    holders: dict[str, list[int]] = {}
+    for i, d in enumerate(d for d, t in zip(docs, y) if not t):
+        for u in d:
+            holders.setdefault(u, []).append(i)
+    times, picked = np.zeros(len(toxic)), []
+    nearest = np.zeros(len(clean), np.float32)
+    while True:
+        left = [i for i in range(len(toxic)) if times[i] < COVER]
+        inside = Counter(u for i in left for u in toxic[i] if len(u) > 2)
+        value = {u: n * math.log((n + 0.5) / len(left) * n_out / (outside[u] + 0.5)) for u, n in inside.items()}
+        chosen = sorted((u for u in value if u not in picked), key=lambda u: (-value[u], u))[:CANDIDATES]
+        if not chosen:
+            break
+        marks = Landmarks(chosen)
+        at, like = marks.near(clean)
+        own, k = marks.near(chosen)
+        gram = np.zeros((len(chosen),) * 2, np.float32)
+        gram[own] = k
+        place = {u: i for i, u in enumerate(chosen)}
+        holds = np.zeros((len(toxic), len(chosen)), bool)
+        for i in left:
+            for u in toxic[i] & place.keys():
+                holds[i] |= gram[place[u]] >= above(near)
+        wrong = np.zeros(len(chosen))
+        for j in range(len(chosen)):
+            texts = {i for c in at[like[:, j] >= above(same)] for i in holders[clean[c]]}
+            wrong[j] = against[list(texts)].sum()
+        before, mine = len(picked), []
+        while True:
+            gain = (weight * (times < COVER)) @ holds - 3.0 * wrong
+            gain[mine] = -1
+            k = int(np.argmax(gain))
+            if gain[k] < 2 - 1e-6:
+                break
+            mine.append(k)
+            picked.append(chosen[k])
+            times += holds[:, k]
+            nearest[at] = np.maximum(nearest[at], like[:, k])
+        if len(picked) == before:
+            if not picked:
+                picked = [chosen[0]]
+                nearest[at] = like[:, 0]
+            break
+    order = np.argsort(-nearest, kind="stable")[: len(picked)]
+    return picked, [clean[i] for i in order if nearest[i] > 0 and clean[i] not in picked]
+
+
+def fit(texts: list[str], toxic: list[int], clean_weight: float = 1.0, near: float = 0.6, same: float = 0.8) -> Model:
     """clean_weight: how many clean texts of the corpus each clean text of the sample stands for.
 
     Units at `near` or more stand for each other; a clean unit at `same` or more speaks against a landmark.
@@ -207,78 +317,50 @@ def fit(texts: list[str], toxic: list[int], clean_weight: float = 1.0, candidate
     if not len(y) or y.min() == y.max():
         return Model(None)
     docs = [units_of(t or "") for t in texts]
-    inside, outside = Counter(), Counter()
-    for u, t in zip(docs, y):
-        (inside if t else outside).update(u)
-    n_in, n_out = int(y.sum()), int((1 - y).sum())
-    value = {u: n * math.log((n + 0.5) / n_in * n_out / (outside[u] + 0.5)) for u, n in inside.items() if len(u) > 2}
-    chosen = sorted(value, key=lambda u: (-value[u], u))[:candidates]
-
-    columns = np.full(SIZE, -1)
-    codes = np.unique(np.concatenate([np.unique(subsequences(c)[0]) for _, c in by_length(chosen, LONGEST)]))
-    columns[codes] = np.arange(len(codes))
-    base = features(chosen, columns)
-    gram = (base @ base.T).astype(float)
-    clean = sorted(outside)
-    like = np.concatenate([(features(clean[i : i + 1000], columns) @ base.T).astype(np.float16) for i in range(0, len(clean), 1000)]) if clean else np.zeros((0, len(chosen)))
-
-    # Cover the toxic texts: by landmark, the texts that hold a unit near it.
-    place = {u: i for i, u in enumerate(chosen)}
-    holds = np.zeros((len(docs), len(chosen)), bool)
-    clean_at = {u: i for i, u in enumerate(clean)}
-    near_clean = like >= same
-    touched = {u for u, i in clean_at.items() if near_clean[i].any()}
-    for d, u in enumerate(docs):
-        for x in u & place.keys():
-            holds[d] |= gram[place[x]] >= near
-        if not y[d]:
-            for x in u & touched:
-                holds[d] |= near_clean[clean_at[x]]
-    times, picked = np.zeros(n_in), []
-    weight, against = (copies_weight([u for u, t in zip(docs, y) if t == k]) for k in (1, 0))
-    wrong = against @ holds[y == 0]
-    inside_of = holds[y == 1]
-    while len(picked) < most:
-        gain = (weight * (times < COVER)) @ inside_of - 3.0 * wrong
-        gain[picked] = -1
-        k = int(np.argmax(gain))
-        if gain[k] < 2 - 1e-6:
-            break
-        picked.append(k)
-        times += inside_of[:, k]
-    if not picked:
-        picked = [0]
-
-    positive = [i for i in range(len(chosen)) if gram[i, picked].max() >= near and not outside[chosen[i]]] or picked
-    nearness = like[:, picked].max(1) if len(clean) else np.zeros(0)
-    hard = np.argsort(-nearness, kind="stable")[:3000]
-    spread = np.arange(0, len(clean), max(1, len(clean) // 3000))
-    negative = sorted(set(hard.tolist()) | set(spread.tolist()))
-    landmarks = [chosen[i] for i in picked] + [clean[i] for i in hard[:most]]
-
-    columns = np.full(SIZE, -1)
-    codes = np.unique(np.concatenate([np.unique(subsequences(c)[0]) for _, c in by_length(landmarks, LONGEST)]))
-    columns[codes] = np.arange(len(codes))
-    marks = features(landmarks, columns).astype(float)
-    size, axes = np.linalg.eigh(marks @ marks.T)
-    root = axes / np.sqrt(np.maximum(size, 1e-6))
-    units = [chosen[i] for i in positive] + [clean[i] for i in negative]
-    sign = np.array([1.0] * len(positive) + [-1.0] * len(negative))
-    weight = np.where(sign > 0, 1 / len(positive), 1 / max(1, len(negative)))
-    w = svm(features(units, columns) @ (marks.T @ root), sign, weight * len(units) / 2)
-    table = np.zeros(SIZE, np.float32)
-    table[codes] = marks.T @ (root @ w[:-1])
-    model = Model(table, float(w[-1]), landmarks=tuple(landmarks))
+    if not any(d for d, t in zip(docs, y) if t):
+        return Model(None)
+    bad, clean = found_landmarks(docs, y, near, same)
+    marks = Landmarks(bad + clean)
+    own, k = marks.near(marks.units)
+    gram = np.zeros((len(marks.units),) * 2)
+    gram[own] = k
+    size, axes = np.linalg.eigh((gram + gram.T) / 2)
+    root = axes / np.sqrt(np.maximum(size, 1e-3))
 
     every = sorted(set().union(*docs))
-    known = dict(zip(every, model.unit_values(every)))
-    v = np.array([max((known[x] for x in u), default=Model.LOWEST) for u in docs])
+    at, rows = marks.near(every)
+    place = {every[i]: j for j, i in enumerate(at)}
+    bags = [sorted(place[u] for u in d & place.keys()) for d in docs]
+    x = np.vstack([rows @ root, np.zeros((1, len(marks.units)))])  # the last row: a text with no unit near a landmark
+    lone = [len(x) - 1]
+    spoken = rows[:, : len(bad)].max(1) if len(rows) else np.zeros(0)
+    witness = np.array([max(b, key=lambda j: (spoken[j], -j)) for b, t in zip(bags, y) if t and b])
+    if not len(witness):
+        return Model(None)
+    quiet = Counter(j for b, t in zip(bags, y) if not t for j in b or lone)
+    negative = np.array(sorted(quiet))
+    share = np.array([quiet[j] for j in negative], float)
+    for _ in range(ROUNDS):
+        use = np.concatenate([witness, negative])
+        sign = np.concatenate([np.ones(len(witness)), -np.ones(len(negative))])
+        weight = np.concatenate([np.full(len(witness), 0.5 / len(witness)), 0.5 * share / share.sum()]) * len(docs)
+        w = svm(x[use], sign, weight)
+        value = x @ w[:-1] + w[-1]
+        new = np.array([max(b, key=lambda j: (value[j], -j)) for b, t in zip(bags, y) if t and b])
+        if (new == witness).all():
+            break
+        witness = new
+    model = Model(marks, root @ w[:-1], float(w[-1]))
+    v = np.array([value[b or lone].max() for b in bags])
     model.slope, model.shift = logistic(v, y, np.where(y == 1, 1.0, clean_weight))
     return model
 
 
-def learn(docs: DataFrame, labels: DataFrame, train: Column, per_class: int = 1200) -> Model:
-    """Fitted on at most about per_class labelled texts of each class, chosen by a hash of their id, for which train (a column of doc_id) is true."""
+def learn(docs: DataFrame, labels: DataFrame, train: Column, per_class: int = 1200, class_bytes: int = 16 << 20) -> Model:
+    """Fitted on labelled texts for which train (a column of doc_id) is true.
+
+    Of each class the first per_class in the order of a hash of their ids teach, as far as their texts have class_bytes together.
+    """
     marks = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & train).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sizes = {t: n for t, n in marks.groupBy("toxic").count().collect()}
     if not sizes.get(0) or not sizes.get(1):
@@ -287,7 +369,9 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column, per_class: int = 12
     for t in (0, 1):
         part = marks.filter(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         ids = part if ids is None else ids.union(part)
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "toxic").collect()
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    upto = F.sum(F.octet_length(F.coalesce("text", F.lit("")))).over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id", "text").rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("upto", upto).filter(F.col("upto") <= class_bytes).select("text", "toxic").orderBy("toxic", "upto").collect()
     weight = sizes[0] / min(sizes[0], per_class) / (sizes[1] / min(sizes[1], per_class))
     return fit([r[0] for r in rows], [r[1] for r in rows], max(1.0, weight))
 

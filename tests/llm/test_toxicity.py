@@ -23,7 +23,6 @@ def kernel(a, b):
 
 def test_features_give_the_kernel():
     words = ["stupid", "stuupid", "tuspid", "lovely", "banana"]
-    columns = np.arange(toxicity.SIZE)
     small = np.full(toxicity.SIZE, -1)
     codes = np.unique(np.concatenate([np.unique(toxicity.subsequences(c)[0]) for _, c in toxicity.by_length(words, 30)]))
     small[codes] = np.arange(len(codes))
@@ -31,7 +30,6 @@ def test_features_give_the_kernel():
     for i, a in enumerate(words):
         for j, b in enumerate(words):
             assert math.isclose(f[i] @ f[j], kernel(a, b), abs_tol=1e-5)
-    assert columns is not None
 
 
 def sample():
@@ -48,15 +46,22 @@ def test_scores_tolerate_gaps_and_insertions():
     assert (bad >= 0.5).all() and (good < 0.5).all()
 
 
-def test_folded_weights_equal_the_sum_over_landmarks():
+def test_near_units_are_all_those_over_the_floor():
+    marks = toxicity.Landmarks(["stupid", "idiot", "moron"])
+    units = ["stupid", "stuupid", "stupd", "idiotic", "cat", "walk", "moro", "dotidi", "ab"]
+    at, rows = marks.near(units)
+    got = dict(zip(at.tolist(), rows))
+    for i, u in enumerate(units):
+        k = [kernel(u, m) for m in marks.units]
+        assert (i in got) == (max(k) >= toxicity.FLOOR)
+        if i in got:
+            assert np.allclose(got[i], [max(0, (x - toxicity.FLOOR) / (1 - toxicity.FLOOR)) for x in k], atol=1e-5)
+
+
+def test_one_insult_in_a_long_text_tells():
     m = toxicity.fit(*sample())
-    units = ["stupid", "idiot", "cat", "stuupid", "walk"]
-    fast = m.unit_values(units)
-    for u, v in zip(units, fast):
-        ((_, c),) = list(toxicity.by_length([u], 30))
-        codes, w = toxicity.subsequences(c)
-        slow = float(m.table[codes[0]] @ w / toxicity.norms(codes, w)[0] + m.offset)
-        assert math.isclose(v, slow, rel_tol=1e-6) or (v == m.LOWEST and slow < -0.9)
+    rest = "the cat sat on the mat and we read of a fine riot " * 2000
+    assert m.scorer()([rest])[0] < 0.5 <= m.scorer()([rest + "stupid"])[0]
 
 
 def test_held_out_documents(spark):
@@ -67,7 +72,17 @@ def test_held_out_documents(spark):
     clean = [i for i in held if labels[i] == 0]
     assert sum(got[i].predicted == 0 for i in clean) >= 0.97 * len(clean)
     bad = [i for i in held if labels[i] == 1]
-    assert sum(got[i].predicted for i in bad) >= 0.5 * len(bad)
+    assert sum(got[i].predicted for i in bad) >= 0.8 * len(bad)  # 45 toxic texts teach, and 6 are held out
+
+
+def test_held_out_documents_of_the_large_table(spark):
+    d = "/root/testdata/check_s"
+    labels = table(spark, d, "labels").filter("toxic is not null")
+    docs = table(spark, d, "documents").join(labels.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "text")
+    got = {r.doc_id: r for r in toxicity.rate(docs, labels).collect()}
+    held = [(r.toxic, got[r.doc_id].predicted) for r in labels.collect() if r.doc_id in got and got[r.doc_id].held_out]
+    bad, clean = [p for t, p in held if t], [p for t, p in held if not t]
+    assert len(bad) > 300 and sum(bad) >= 0.97 * len(bad) and sum(clean) <= 0.003 * len(clean)
 
 
 def test_edges(spark):
