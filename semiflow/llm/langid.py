@@ -2,11 +2,13 @@
 
 Each language has a probability for each piece of a fixed public vocabulary. A word's probability in a language is the
 sum over all its segmentations into pieces, which the forward algorithm takes; a text's is the product over its words.
-The probabilities are learned by expectation maximisation (forward and backward sums) from word counts of a bounded
-sample of documents for each language.
+Words are runs of letters, lowered; the vocabulary is a public model's whole list of pieces (those with capitals, digits
+or signs occur in no word). The probabilities are learned by expectation maximisation (forward and backward sums) from
+word counts of a bounded sample of documents for each language.
 
 Texts that are null or have no letters are `und` with score 0; ties go to the language first in code point order; with
-no labelled rows every text is `und`; an empty table gives no rows. Runs of letters over 24 are taken in parts of 24.
+no labelled rows every text is `und`; an empty table gives no rows; repeated rows are predicted alike, and each teaches.
+Runs of letters over 24 are taken in parts of 24; texts may have any length. Other columns are left out.
 """
 
 from __future__ import annotations
@@ -17,10 +19,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from semiflow.llm.common import by_length, held_out, id_fraction
+from semiflow.llm.common import by_length, held_out, id_fraction, small_batches, small_side
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -28,7 +30,7 @@ LONGEST = 24
 MARK = "▁"
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 #: Words whose sums a worker keeps.
-KEPT = 300_000
+KEPT = 60_000
 
 
 def words_of(text: str) -> list[str]:
@@ -38,13 +40,12 @@ def words_of(text: str) -> list[str]:
     return out
 
 
-def vocabulary(path: str = VOCABULARY, longest: int = 8) -> list[str]:
-    """The pieces of a SentencePiece model, without its control pieces, up to so many characters."""
+def vocabulary(path: str = VOCABULARY) -> list[str]:
+    """The pieces of a SentencePiece model, without its control pieces and those of single bytes."""
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
-    own = (sp.id_to_piece(i) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i)))
-    return sorted({p for p in own if 1 <= len(p) <= longest and LETTERS.fullmatch(p.replace(MARK, "")) and p == p.lower()})
+    return sorted({sp.id_to_piece(i) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))})
 
 
 class Pieces:
@@ -165,16 +166,14 @@ class Model:
         return score
 
 
-def learn(docs: DataFrame, train: Column, path: str = VOCABULARY, per_lang: int = 250, distinct_words: int = 200_000) -> Model:
+def learn(docs: DataFrame, train: Column, path: str = VOCABULARY, per_lang: int = 250, words_per_lang: int = 50_000) -> Model:
     """Fitted on about per_lang documents of each language, chosen by a hash of their id, for which train is true.
 
-    Of their words the distinct_words most frequent are kept. Rows without a language teach nothing.
+    Of each language's words in them the words_per_lang most frequent teach. Rows without a language teach nothing.
     """
-    rows = docs.filter(F.col("lang").isNotNull() & train)
-    sizes = rows.groupBy("lang").count().collect()
-    take = F.lit(False)
-    for lang, n in sizes:
-        take = take | ((F.col("lang") == lang) & (id_fraction(F.col("doc_id")) < per_lang / n))
+    rows = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & train)
+    sizes = small_side(rows.groupBy("lang").agg(F.count("*").alias("rows_of_lang")))
+    chosen = rows.join(sizes, "lang").filter(id_fraction(F.col("doc_id")) < per_lang / F.col("rows_of_lang"))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c: Counter = Counter()
@@ -183,8 +182,9 @@ def learn(docs: DataFrame, train: Column, path: str = VOCABULARY, per_lang: int
                 c.update((lang, w) for w in words_of(t or ""))
         yield pd.DataFrame([(*k, n) for k, n in c.items()], columns=["lang", "word", "n"])
 
-    got = rows.filter(take).select("lang", "text").mapInPandas(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    top = got.orderBy(F.desc("n"), "lang", "word").limit(distinct_words).collect()
+    got = small_batches(chosen).select("lang", "text").mapInPandas(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
+    top = got.withColumn("place", place).filter(F.col("place") <= words_per_lang).orderBy("lang", "place").select("lang", "word", "n").collect()
     return Model.learn([tuple(r) for r in top], vocabulary(path))
 
 
@@ -195,7 +195,7 @@ def predictor(model: Model):
     def predict(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         score = model.scorer()
         for x in texts:
-            got = [y for lo in range(0, len(x), 500) for y in score(list(x.iloc[lo : lo + 500]))]
+            got = [y for lo in range(0, len(x), 100) for y in score(list(x.iloc[lo : lo + 100]))]
             yield pd.DataFrame(got, columns=["lang_pred", "score"])
 
     return predict
@@ -205,4 +205,4 @@ def identify(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """A row for each document: doc_id, held_out, lang_pred, score. Rows that are held out teach nothing."""
     out = held_out(F.col("doc_id"))
     model = learn(docs, ~out, path)
-    return docs.select("doc_id", out.alias("held_out"), predictor(model)(F.col("text")).alias("x")).select("doc_id", "held_out", "x.lang_pred", "x.score")
+    return small_batches(docs).select("doc_id", out.alias("held_out"), predictor(model)(F.col("text")).alias("x")).select("doc_id", "held_out", "x.lang_pred", "x.score")
