@@ -9,9 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from decimal import Decimal
 from itertools import product
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -70,51 +71,77 @@ def broken_laws(m: Monoid, samples: list) -> list[str]:
 
 
 def fold(df: DataFrame, m: Monoid, value: Column, init=None) -> DataFrame:
-    """One row: the fold of all values, combined once with init. Raises for operations that need an order."""
+    """One row: the fold of all values, combined once with init, in the values' own type. Raises for operations that need an order."""
     if not m.can("associative", "commutative"):
         raise ValueError(f"{m.name} isn't commutative: rows have no order here")
     init = m.identity if init is None else init
-    if m.aggregate is not None:
+    x = df.select(F.lit(0).alias("k"), value.alias("v"))
+    kind = dict(x.dtypes)["v"]
+    if m.aggregate is not None and not (m.name == "*" and kind.startswith("decimal")):  # Spark's product is a double
         return df.agg(m.aggregate(value).alias("__a")).select(m.columns(F.lit(init), F.coalesce("__a", F.lit(m.identity))).alias("value"))
-    kind = "long"
-    one = merge_by(df.select(F.lit(0).alias("k"), value.cast(kind).alias("v")), m, "k", "v")
-    found = [r[0] for r in one.select("v").collect()]
-    return df.sparkSession.createDataFrame([(m.values(init, found[0]) if found else init,)], f"value {kind}")
+    found = [r[0] for r in merge_by(x, m, "k", "v").select("v").collect()]
+    start = [type(v)(init) for v in found] or [Decimal(init) if kind.startswith("decimal") else init]
+    return df.sparkSession.createDataFrame([(m.values(start[0], found[0]) if found else start[0],)], f"value {kind}")
 
 
 def group_by(df: DataFrame, m: Monoid, key: str, value: Column, name: str = "value") -> DataFrame:
+    """A row for each key: the fold of its values, in their own type."""
     if m.aggregate is not None:
         return df.groupBy(key).agg(m.aggregate(value).alias(name))
-    return merge_by(df.select(F.col(key), value.cast("long").alias(name)), m, key, name)
+    return merge_by(df.select(F.col(key), value.alias(name)), m, key, name)
 
 
 def merge_by(df: DataFrame, m: Monoid, key: str, value: str, salts: int = 32) -> DataFrame:
     """Per-key folds of an operation in Python: first in each partition's batches, then by salted key, then by key.
 
     Each step leaves at most a row for each key and task, so that a key with many rows never meets in one task whole.
+    Keys and values keep their types; the operation sees Python values, and nulls are left out, as by other aggregates.
     """
     if not m.can("associative", "commutative"):
         raise ValueError(f"{m.name} can't be split: it isn't associative and commutative")
     schema = df.select(key, value).schema
-    f, names = m.values, (key, value)
+
+    def both(a, b):
+        return b if a is None else a if b is None else m.values(a, b)
+
+    def rows(batch):
+        return zip(*(c.to_pylist() for c in batch.columns))
+
+    def made(pairs, like):
+        columns = list(zip(*pairs)) or [(), ()]
+        return pa.RecordBatch.from_arrays([pa.array(c, like.field(i).type) for i, c in enumerate(columns)], names=[key, value])
 
     def partial(batches):
         acc: dict = {}
+        like = None
         for b in batches:
-            for k, v in zip(b[names[0]], b[names[1]]):
-                acc[k] = f(acc[k], v) if k in acc else v
+            like = b.schema
+            for k, v in rows(b):
+                acc[k] = both(acc[k], v) if k in acc else v
             if len(acc) > 100_000:
-                yield pd.DataFrame(list(acc.items()), columns=names)
+                yield made(acc.items(), like)
                 acc = {}
-        yield pd.DataFrame(list(acc.items()), columns=names)
-
-    def merge(g: pd.DataFrame) -> pd.DataFrame:
-        it = iter(g[names[1]])
-        out = next(it)
-        for v in it:
-            out = f(out, v)
-        return pd.DataFrame({names[0]: [g[names[0]].iloc[0]], names[1]: [out]})
-
-    first = df.select(key, value).mapInPandas(partial, schema).withColumn("__s", F.spark_partition_id() % salts)
-    salted = first.groupBy(key, "__s").applyInPandas(lambda g: merge(g), schema)
-    return salted.groupBy(key).applyInPandas(lambda g: merge(g), schema)
+        if acc:
+            yield made(acc.items(), like)
+
+    def runs(batches):
+        """Folds rows of one key that follow each other."""
+        out: list = []
+        like = None
+        for b in batches:
+            like = b.schema
+            for k, v in rows(b):
+                if out and out[-1][0] == k:
+                    out[-1] = (k, both(out[-1][1], v))
+                else:
+                    out.append((k, v))
+            if len(out) > 100_000:
+                yield made(out[:-1], like)
+                out = out[-1:]
+        if out:
+            yield made(out, like)
+
+    x = df.select(key, value).mapInArrow(partial, schema).withColumn("__s", F.spark_partition_id() % salts)
+    for dealt in ([key, "__s"], [key]):
+        x = x.repartition(*dealt).sortWithinPartitions(key).select(key, value).mapInArrow(runs, schema)
+    return x

@@ -13,6 +13,9 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from semiflow.functions import monoids
+from semiflow.scratch import cut
+
 POS = "_pos"
 Element = Callable[[DataFrame], Column] | Column | str
 
@@ -24,30 +27,20 @@ def holds(p: Column) -> Column:
 def positions(df: DataFrame, by: tuple[str, ...], name: str = POS) -> DataFrame:
     """df with the 0-based position of each row in the order of `by`, without one task that sees all rows.
 
-    Quantiles of the first column split the rows into ranges; the ranges' counts give each its first position, and rows
-    are numbered within their range. A first column with few values makes large ranges: name a finer one first.
+    Rows are dealt to ranges of the whole order, and rows that tie there by a hash of all their columns, so that a column
+    of few values makes no large range; they are numbered within their range, and the ranges' counts give each its first
+    position. The ranges are written once: dealt anew, they might differ.
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    key = F.col(by[0])
-    kind = dict(df.dtypes)[by[0]]
-    numeric = kind in ("tinyint", "smallint", "int", "bigint", "float", "double", "date", "timestamp", "timestamp_ntz")
-    steps = [i / parts for i in range(1, parts)]
-    at: list = []
-    if numeric and steps:
-        at = sorted(set(df.agg(F.percentile_approx(key, steps, 10 * parts)).first()[0] or []))
-    elif steps:
-        seen = sorted(r[0] for r in df.select(key).filter(key.isNotNull()).orderBy(F.xxhash64(key)).limit(100 * parts).distinct().collect())
-        at = [seen[len(seen) * i // parts] for i in range(1, parts)] if len(seen) >= parts else seen
-    splits = F.array(*[F.lit(v).cast(kind) for v in at]) if at else None
-    part = F.when(key.isNull(), -1).otherwise(F.size(F.filter(splits, lambda s: s <= key)) if at else F.lit(0)).cast("int")
-    x = df.withColumn("__part", part)
-    counts = {p: n for p, n in x.groupBy("__part").count().collect()}  # a row for each range
-    first, total = {}, 0
-    for p in sorted(counts):
-        first[p], total = total, total + counts[p]
-    start = F.element_at(F.create_map(*[F.lit(v) for kv in first.items() for v in kv]), F.col("__part")) if first else F.lit(0)
-    within = F.row_number().over(Window.partitionBy("__part").orderBy(*[F.col(c).asc_nulls_first() for c in by]))
-    return x.withColumn(name, (start + within - 1).cast("long")).drop("__part")
+    order = [F.col(c).asc_nulls_first() for c in by]
+    hashed = [c for c, kind in df.dtypes if not ("map<" in kind or "variant" in kind)]
+    ranges = df.withColumn("__tie", F.xxhash64(*hashed) if hashed else F.lit(0).cast("long"))
+    ranges = ranges.repartitionByRange(parts, *order, "__tie").sortWithinPartitions(*order, "__tie").drop("__tie")
+    x = cut(ranges.withColumns({"__part": F.spark_partition_id(), "__at": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)}), "positions")
+    counts = x.groupBy("__part").agg(F.count("*").alias("__n"))  # a row for each range
+    before = F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select("__part", F.coalesce(before, F.lit(0)).alias("__start"))
+    return x.join(F.broadcast(starts), "__part").withColumn(name, (F.col("__start") + F.col("__at")).cast("long")).drop("__part", "__at", "__start")
 
 
 @dataclass(frozen=True)
@@ -186,12 +179,13 @@ class Flow:
         return x._with(x.df.crossJoin(F.broadcast(top)).withColumn(POS, F.col("__m") - F.col(POS)).drop("__m"), True)
 
     def concat(self, *others: Flow) -> Flow:
-        flows = [f.indexed() for f in (self, *others)]
-        out = None
-        for i, f in enumerate(flows):
-            x = f.df.withColumn("_src", F.lit(i))
-            out = x if out is None else out.unionByName(x)
-        return Flow(out.withColumnRenamed(POS, "_at"), ("_src", "_at"))
+        out, first = None, 0
+        for f in (self, *others):
+            x = f.indexed().df
+            part = x.withColumn(POS, F.col(POS) + first)
+            out = part if out is None else out.unionByName(part)
+            first += x.count()
+        return Flow(out, (POS,), True)
 
     def interpose(self, sep: Column, column: str) -> Flow:
         x = self.indexed()
@@ -224,9 +218,7 @@ class Flow:
         over is an aggregate and merge the same operation of two columns; both must be associative.
         """
         x = self.indexed()
-        parts = int(x.df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        span = F.lit(max(1, -(-x.size() // parts)))
-        y = x.df.select(F.col(POS), value.alias("__v"), F.floor(F.col(POS) / span).alias("__g"))
+        y = x._ranges()[0].select(POS, value.alias("__v"), "__g")
         sums = y.groupBy("__g").agg(over("__v").alias("__s"))  # a row for each range
         before = over("__s").over(Window.orderBy("__g").rowsBetween(Window.unboundedPreceding, -1))
         starts = sums.select("__g", F.coalesce(merge(F.lit(init), before), F.lit(init)).alias("__start"))
@@ -238,13 +230,19 @@ class Flow:
     def dedupe(self, *columns: str) -> Flow:
         """Without rows equal to the row before."""
         x = self.indexed()
-        same = F.lit(True)
-        # The row before is joined by its position, so that no window spans all rows.
-        prev = x.df.select((F.col(POS) + 1).alias(POS), *[F.col(c).alias(f"__{c}") for c in columns], F.lit(True).alias("__has"))
-        for c in columns:
-            same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
-        y = x.df.join(prev, POS, "left").filter(F.col("__has").isNull() | ~same)
-        return x._with(y.select(*x.df.columns))
+        y, _ = x._ranges()
+        row = F.struct(*[F.col(c).alias(c) for c in columns])
+        # Within a range a lag; before a range's first row comes the last of the range before it, a row for each range.
+        last = y.groupBy("__g").agg(F.max_by(row, POS).alias("__last")).withColumn("__g", F.col("__g") + 1)
+        prev = F.coalesce(F.lag(row).over(Window.partitionBy("__g").orderBy(POS)), F.col("__last"))
+        y = y.join(F.broadcast(last), "__g", "left").withColumn("__prev", prev)
+        return x._with(y.filter((F.col(POS) == 0) | ~F.col("__prev").eqNullSafe(row)).select(*x.df.columns))
+
+    def _ranges(self) -> tuple[DataFrame, int]:
+        """The rows with the range __g that their position is in, as many ranges as shuffles have partitions; and a range's length."""
+        parts = int(self.df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        span = max(1, -(-self.size() // parts))
+        return self.df.withColumn("__g", F.floor(F.col(POS) / span)), span
 
     def sort(self, *columns: str) -> Flow:
         """Ascending and stable: the order so far breaks ties."""
@@ -276,11 +274,13 @@ class Flow:
         return x.mapInPandas(run, schema)
 
     def apply(self, op: str, column: str) -> DataFrame:
-        """+, * or max over a column, with the identities 0, 1 and 0."""
+        """+, * or max over a column, with the identities 0, 1 and 0. Products of whole numbers are exact, up to 38 digits."""
         if op == "+":
             agg, e = F.sum(column), 0
         elif op == "max":
             agg, e = F.max(column), 0
+        elif op == "*" and dict(self.df.dtypes)[column] in ("tinyint", "smallint", "int", "bigint"):
+            return monoids.fold(self.df, monoids.TIMES, F.col(column).cast("decimal(38,0)"))
         elif op == "*":
             agg, e = F.product(column), 1
         else:

@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder of our own where it is unset, as in local mode."""
+    """spark.checkpoint.dir. In local mode, where it is unset, a folder of our own; a cluster must name one that all executors see."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="semiflow-shared-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -25,4 +27,16 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """Writes df to the shared folder and reads it back, so that a lost executor costs no recomputation."""
     at = scratch(df.sparkSession, name)
     df.write.parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
+    out = df.sparkSession.read.schema(df.schema).parquet(at)
+    out._cut_at = at
+    return out
+
+
+def forget(*dfs: DataFrame | None) -> None:
+    """Deletes the tables that cut() wrote for these; nothing that was made from them may be read any more, unless it was cut itself."""
+    for df in dfs:
+        at = getattr(df, "_cut_at", None) if df is not None else None
+        if at:
+            jvm = df.sparkSession.sparkContext._jvm
+            path = jvm.org.apache.hadoop.fs.Path(at)
+            path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
