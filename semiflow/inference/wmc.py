@@ -1,7 +1,8 @@
 """Weighted model counting: the probability that some alternative of a provenance holds, facts being independent.
 
-By Shannon expansion on the most frequent fact, with a memo; alternatives without common facts are multiplied out.
-Rows whose provenance has more than `most` facts raise: the count takes time exponential in them.
+By Shannon expansion on the most frequent fact, with a memo; parts of a provenance without common facts are multiplied
+out. A part with more than `most` facts in alternatives of several raises: the count takes time exponential in them.
+Alternatives that share no fact at all need no provenance: some_of() is an aggregate, for groups of any size.
 """
 
 from __future__ import annotations
@@ -11,10 +12,15 @@ from collections.abc import Iterator
 from itertools import product
 
 import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def count(dnf: frozenset[frozenset[str]], p: dict[str, float], memo: dict | None = None) -> float:
+class TooManyFacts(ValueError):
+    pass
+
+
+def count(dnf: frozenset[frozenset[str]], p: dict[str, float], memo: dict | None = None, most: int = 64) -> float:
     memo = {} if memo is None else memo
     if frozenset() in dnf:
         return 1.0
@@ -22,26 +28,53 @@ def count(dnf: frozenset[frozenset[str]], p: dict[str, float], memo: dict | None
         return 0.0
     if dnf in memo:
         return memo[dnf]
-    # Parts without common facts are independent.
-    parts: list[tuple[set, set]] = []
-    for c in dnf:
-        joined = [x for x in parts if x[0] & c]
-        merged = (set(c).union(*[x[0] for x in joined]), {c}.union(*[x[1] for x in joined]))
-        parts = [x for x in parts if not x[0] & c] + [merged]
+    parts = independent(dnf)
     if len(parts) > 1:
         none = 1.0
-        for _, cs in parts:
-            none *= 1 - count(frozenset(cs), p, memo)
+        for cs in parts:
+            none *= 1 - count(cs, p, memo, most)
         out = 1 - none
+    elif len(dnf) == 1:
+        out = 1.0
+        for x in next(iter(dnf)):
+            out *= p[x]
     else:
+        if len(facts := set().union(*dnf)) > most:
+            raise TooManyFacts(f"a part of a provenance with {len(facts)} facts; at most {most} are counted")
         v = Counter(x for c in dnf for x in c).most_common(1)[0][0]
         yes = frozenset(c - {v} for c in dnf)
         no = frozenset(c for c in dnf if v not in c)
-        out = p[v] * count(yes, p, memo) + (1 - p[v]) * count(no, p, memo)
+        out = p[v] * count(yes, p, memo, most) + (1 - p[v]) * count(no, p, memo, most)
     memo[dnf] = out
     return out
 
 
+def independent(dnf: frozenset[frozenset[str]]) -> list[frozenset[frozenset[str]]]:
+    """The alternatives in parts without common facts."""
+    root: dict[str, str] = {}
+
+    def top(x: str) -> str:
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for c in dnf:
+        first, *rest = c
+        for x in rest:
+            root[top(x)] = top(first)
+    parts: dict[str, set] = {}
+    for c in dnf:
+        parts.setdefault(top(next(iter(c))), set()).add(c)
+    return [frozenset(x) for x in parts.values()]
+
+
+def some_of(df: DataFrame, keys: list[str], p: str) -> DataFrame:
+    """(keys, p): the probability that some row of each group holds, rows being independent and each having its own probability."""
+    none = F.exp(F.sum(F.when(F.col(p) < 1, F.log1p(-F.col(p)))))
+    return df.groupBy(*keys).agg(F.when(F.max(p) >= 1, 1.0).otherwise(1 - F.coalesce(none, F.lit(1.0))).alias("p"))
+
+
 def enumerated(dnf: frozenset[frozenset[str]], p: dict[str, float]) -> float:
     """By all worlds: for tests, up to some 18 facts."""
     names = sorted({x for c in dnf for x in c})
@@ -66,9 +99,7 @@ def weighted(p: dict[str, float] | float, most: int = 64):
             for alternatives in x:
                 dnf = frozenset(frozenset(c) for c in alternatives)
                 facts = {f for c in dnf for f in c}
-                if len(facts) > most:
-                    raise ValueError(f"a provenance of {len(facts)} facts; at most {most} are counted")
-                out.append(count(dnf, p if isinstance(p, dict) else dict.fromkeys(facts, p)))
+                out.append(count(dnf, p if isinstance(p, dict) else dict.fromkeys(facts, p), most=most))
             yield pd.Series(out, dtype=float)
 
     return of

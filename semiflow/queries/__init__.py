@@ -20,14 +20,5 @@ def query(sql: str | None = None):
     return put
 
 
-def whole(f, given: tuple, swaps: dict[str, str]) -> None:
-    """Registers f, called with `given`, under its name and _whole; its SQL is that of f with the swaps made."""
-    sql = SQL[f.__name__]
-    for old, new in swaps.items():
-        sql = sql.replace(old, new)
-    QUERIES[f"{f.__name__}_whole"] = lambda spark, d: f(spark, d, *given)
-    SQL[f"{f.__name__}_whole"] = sql
-
-
 def load() -> None:
     from semiflow.queries import annotated, elements, folds, incremental, joins, ordered, rewrites, values  # noqa: F401

@@ -7,6 +7,7 @@ from semiflow.operators.flow import Flow
 from semiflow.queries import query
 from semiflow.sources import tables
 from semiflow.sources.tables import table
+from semiflow.streaming import structured
 
 
 @query("SELECT o_orderkey, o_custkey, o_orderstatus FROM orders")
@@ -21,7 +22,9 @@ def s2_range(spark, d):
 
 @query("SELECT CAST(range * range AS BIGINT) AS value FROM range(50)")
 def s3_endless_range_taken(spark, d):
-    return Flow(tables.numbers(spark, 50)).map((F.col("value") * F.col("value")).alias("value")).rows()
+    """A window of a stream without end."""
+    x = structured.take(structured.endless(spark, 20), 50)
+    return Flow(x).map((F.col("value") * F.col("value")).alias("value")).rows()
 
 
 @query("SELECT CAST(range AS BIGINT) AS _pos, CAST(1 << range AS BIGINT) AS value FROM range(10)")
@@ -62,6 +65,22 @@ def s13_fold_sinks(spark, d):
     return table(spark, d, "lineitem").agg(F.count("*").alias("n"), F.sum("l_quantity").cast("long").alias("total"))
 
 
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10")
+def s13_limit_sink(spark, d):
+    x = Flow(table(spark, d, "orders").select("o_orderkey", "o_totalprice", (-F.col("o_totalprice")).alias("down")), ("down", "o_orderkey"))
+    return x.take(10).df.select("o_orderkey", "o_totalprice")
+
+
+@query("SELECT list(r_name ORDER BY r_regionkey) AS vector FROM region")
+def s13_vector_sink(spark, d):
+    return Flow(table(spark, d, "region"), ("r_regionkey",)).partition_all(0, "r_name", "vector").rows()
+
+
+@query("SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders")
+def s13_set_sink(spark, d):
+    return Flow(table(spark, d, "orders")).map("o_orderstatus", "o_orderpriority").distinct().rows()
+
+
 @query("SELECT c_custkey AS e, c_mktsegment FROM customer")
 def s14_attribute_scan(spark, d):
     return tables.attribute(tables.triples(table(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment"), "c_custkey"), "c_mktsegment")
@@ -160,3 +179,13 @@ def s9_find_shapes(spark, d):
     many = len(tables.shaped(r.select("r_name"), "coll"))
     pair = tables.shaped(n.orderBy("n_name").select("n_name", "n_nationkey").limit(1), "tuple")
     return spark.createDataFrame([(one, many, pair[0])], "scalar long, coll long, tuple string")
+
+
+@query("SELECT o_orderkey, o_custkey + o_orderkey AS total, 2 * (o_custkey + 1) AS composed FROM orders")
+def p13_functions(spark, d):
+    """Functions of columns composed, applied in part, and taking a pair apart."""
+    add, double = (lambda a, b: a + b), (lambda v: 2 * v)
+    bumped = lambda v: add(v, 1)
+    pair = F.struct(F.col("o_custkey").alias("a"), F.col("o_orderkey").alias("b"))
+    x = Flow(table(spark, d, "orders")).map("o_orderkey", pair.alias("p"))
+    return x.map("o_orderkey", add(F.col("p")["a"], F.col("p")["b"]).alias("total"), double(bumped(F.col("p")["a"])).alias("composed")).rows()

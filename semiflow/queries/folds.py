@@ -42,6 +42,19 @@ def a4_apply(spark, d):
     return x.apply("+", "o_custkey").toDF("plus").crossJoin(x.apply("max", "o_custkey").toDF("top"))
 
 
+@query("SELECT CAST(product(n_regionkey + 1) AS BIGINT) AS value FROM nation")
+def a4_product(spark, d):
+    """Exact, where Spark's own product is a double."""
+    return Flow(table(spark, d, "nation").select((F.col("n_regionkey") + 1).alias("x"))).apply("*", "x").select(F.col("value").cast("long").alias("value"))
+
+
+@query("SELECT c_custkey, length(c_name) AS letters, CAST(2 AS INTEGER) AS entries FROM customer")
+def a5_count_kinds(spark, d):
+    """Of a string and of a map."""
+    m = F.create_map(F.lit("name"), F.col("c_name"), F.lit("segment"), F.col("c_mktsegment"))
+    return table(spark, d, "customer").select("c_custkey", F.length("c_name").cast("long").alias("letters"), F.size(m).alias("entries"))
+
+
 @query("SELECT count(*) AS n FROM lineitem")
 def a5_count(spark, d):
     return lines(spark, d).count()
@@ -68,6 +81,18 @@ def a8_keys(spark, d):
     return Flow(table(spark, d, "customer")).group_by("c_mktsegment").keys_only()
 
 
+@query("SELECT list(n_name ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey")
+def a8_vals(spark, d):
+    x = Flow(table(spark, d, "nation").select("n_regionkey", "n_name")).group_by("n_regionkey").vals()
+    return x.select(F.transform("rows", lambda r: r["n_name"]).alias("names"))
+
+
+@query("SELECT n_regionkey, count(*) AS n, min(n_name) AS first FROM nation GROUP BY n_regionkey")
+def a8_entries(spark, d):
+    x = Flow(table(spark, d, "nation").select("n_regionkey", "n_name")).group_by("n_regionkey").entries()
+    return x.select("n_regionkey", F.size("rows").cast("long").alias("n"), F.col("rows")[0]["n_name"].alias("first"))
+
+
 @query(f"SELECT CAST(sum({QTY}) AS BIGINT) AS total FROM lineitem GROUP BY l_suppkey")
 def a9_group_aggregate_vals(spark, d):
     return lines(spark, d).group_by("l_suppkey").vals_agg(F.sum(qty()).alias("total"))
@@ -131,6 +156,18 @@ def a18_custom_monoid(spark, d):
     return monoids.merge_by(lines(spark, d).df.select("l_suppkey", (qty() % 97).alias("value")), m, "l_suppkey", "value")
 
 
+@query("SELECT event_type, max(value) AS value FROM events GROUP BY event_type")
+def a18_custom_monoid_of_doubles(spark, d):
+    m = monoids.foreign("larger", 0.0, max, {"associative", "commutative", "idempotent"})
+    return monoids.group_by(table(spark, d, "events"), m, "event_type", F.col("value"))
+
+
+@query("SELECT o_orderstatus, min(o_orderpriority) AS value FROM orders GROUP BY o_orderstatus")
+def a18_custom_monoid_of_strings(spark, d):
+    m = monoids.foreign("first word", "~", min, {"associative", "commutative", "idempotent"})
+    return monoids.group_by(table(spark, d, "orders"), m, "o_orderstatus", F.col("o_orderpriority"))
+
+
 @query(f"SELECT l_partkey, CAST(sum({QTY}) AS BIGINT) AS total, min({QTY}) AS low, max({QTY}) AS high FROM lineitem GROUP BY l_partkey")
 def a19_group_sum_min_max(spark, d):
     return lines(spark, d).group_by("l_partkey").agg(F.sum(qty()).alias("total"), F.min(qty()).alias("low"), F.max(qty()).alias("high"))

@@ -94,3 +94,12 @@ def u3_difference(spark, d):
 @query("SELECT c_custkey AS k FROM customer INTERSECT SELECT o_custkey FROM orders")
 def u3_intersection(spark, d):
     return customers(spark, d).map(F.col("c_custkey").alias("k")).intersection(orders(spark, d).map(F.col("o_custkey").alias("k"))).rows()
+
+
+@query("SELECT c_custkey, c_custkey IN (SELECT o_custkey FROM orders) AS member, c_mktsegment IN ('BUILDING', 'MACHINERY') AS one_of FROM customer")
+def j6_spellings(spark, d):
+    """Membership in a relation, and in a set of constants, as a column."""
+    c, o = table(spark, d, "customer"), Flow(table(spark, d, "orders"))
+    inside = Flow(c.select("c_custkey")).member_of(o, F.col("c_custkey"), F.col("o_custkey")).df.withColumn("member", F.lit(True))
+    x = c.join(inside, "c_custkey", "left")
+    return x.select("c_custkey", F.coalesce("member", F.lit(False)).alias("member"), F.col("c_mktsegment").isin("BUILDING", "MACHINERY").alias("one_of"))

@@ -58,12 +58,11 @@ def w14_group_sum_through_join(spark, d):
     return pushdown.group_sum_through_join(line(spark, d), line(spark, d), key(), key(), F.col("l_returnflag"), qty()).withColumnRenamed("group", "l_returnflag")
 
 
-@query("""SELECT CAST(sum(a.n * b.n * c.q) AS BIGINT) AS value FROM (SELECT l_suppkey AS k, count(*) AS n FROM lineitem WHERE l_linenumber = 1 GROUP BY 1) a
-JOIN (SELECT l_suppkey AS k, count(*) AS n FROM lineitem WHERE l_linenumber = 2 GROUP BY 1) b ON a.k = b.k JOIN (SELECT l_suppkey AS k, sum(CAST(l_quantity AS BIGINT)) AS q FROM lineitem WHERE l_linenumber = 3 GROUP BY 1) c ON a.k = c.k""")
+@query("""SELECT CAST(sum(a.n * b.n * c.q) AS BIGINT) AS value FROM (SELECT l_suppkey AS k, count(*) AS n FROM lineitem GROUP BY 1) a
+JOIN (SELECT l_suppkey AS k, sum(l_linenumber) AS n FROM lineitem GROUP BY 1) b ON a.k = b.k JOIN (SELECT l_suppkey AS k, sum(CAST(l_quantity AS BIGINT)) AS q FROM lineitem GROUP BY 1) c ON a.k = c.k""")
 def w16_three_way_sum(spark, d):
-    one = F.lit(1).cast("long")
-    side = lambda n, f: (line(spark, d).filter(F.col("l_linenumber") == n), key(), f)
-    return pushdown.sum_through_joins(side(1, one), side(2, one), side(3, qty()))
+    side = lambda f: (line(spark, d), key(), f)
+    return pushdown.sum_through_joins(side(F.lit(1).cast("long")), side(F.col("l_linenumber").cast("long")), side(qty()))
 
 
 @query("SELECT CAST(sum(CAST(l_quantity AS BIGINT)) * 12 AS BIGINT) AS value FROM lineitem")
@@ -116,6 +115,31 @@ def f11_guarded_group(spark, d):
     return facts.guarded(x, ("o_orderkey",), fast, lambda df: df.groupBy("o_orderkey").agg(F.sum("o_custkey").alias("total")))[0]
 
 
-@query("SELECT count(*) AS n FROM customer")
+@query("""SELECT 'c_custkey' AS "column", count(*) AS n, CAST(min(c_custkey) AS VARCHAR) AS low, CAST(max(c_custkey) AS VARCHAR) AS high, max(length(CAST(c_custkey AS VARCHAR))) AS longest, count(DISTINCT c_custkey) <= 16 AS small_domain FROM customer
+UNION ALL SELECT 'c_mktsegment', count(*), min(c_mktsegment), max(c_mktsegment), max(length(c_mktsegment)), count(DISTINCT c_mktsegment) <= 16 FROM customer""")
 def f10_profile(spark, d):
-    return facts.profile(table(spark, d, "customer").select("c_custkey", "c_mktsegment")).filter("column = 'c_custkey'").select("n")
+    x = facts.profile(table(spark, d, "customer").select("c_custkey", "c_mktsegment"))
+    return x.select("column", "n", "low", "high", F.col("longest").cast("long").alias("longest"), "small_domain")
+
+
+@query("SELECT round(greatest(0.01, avg(CASE WHEN l_quantity > 40 THEN 1.0::DOUBLE ELSE 0 END)), 9) AS selectivity FROM lineitem")
+def f10_selectivity(spark, d):
+    """Measured on every row: a fraction under 1 estimates."""
+    s = facts.selectivity(line(spark, d), F.col("l_quantity") > 40, fraction=1.0)
+    return spark.createDataFrame([(round(s, 9),)], "selectivity double")
+
+
+@query("""SELECT * FROM (VALUES (0, 'filter l_quantity: dropped, always true (declared)'), (1, 'filter l_partkey: kept'), (2, 'project'), (3, 'distinct: kept')) t(i, note)""")
+def f8_report(spark, d):
+    """What was decided for each step of a plan."""
+    x = known(spark, d).filter_range("l_quantity", low=0).filter_range("l_partkey", high=100).project("l_partkey").distinct()
+    return spark.createDataFrame(list(enumerate(x.notes)), "i int, note string")
+
+
+@query("""SELECT * FROM (VALUES ('none', 0), ('range', 1), ('range and key', 2)) t(tier, dropped)""")
+def f9_unlocked(spark, d):
+    """How many steps each set of declared facts lets drop."""
+    steps = lambda k: k.filter_range("o_custkey", low=1).distinct_by("o_orderkey")
+    low = facts.Range("o_custkey", 1, None)
+    tiers = {"none": facts.Facts(), "range": facts.Facts((low,)), "range and key": facts.Facts((low,), (("o_orderkey",),))}
+    return spark.createDataFrame([(k, len(v)) for k, v in facts.unlocked(table(spark, d, "orders"), steps, tiers).items()], "tier string, dropped int")

@@ -23,6 +23,14 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """A new, empty folder."""
+    at = scratch(spark, name)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(path)
+    return at
+
+
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """Writes df to the shared folder and reads it back, so that a lost executor costs no recomputation."""
     at = scratch(df.sparkSession, name)

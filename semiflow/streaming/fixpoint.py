@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from semiflow.scratch import cut
+from semiflow.scratch import cut, forget
 
 
 class NotConverged(RuntimeError):
@@ -21,7 +21,9 @@ def naive(start: DataFrame, step: Callable[[DataFrame], DataFrame], max_rounds:
         size = all_rows.count()
         if size == n:
             return all_rows
-        n, all_rows = size, cut(all_rows.union(step(all_rows)).distinct(), "fix")
+        old, n = all_rows, size
+        all_rows = cut(old.union(step(old)).distinct(), "fix")
+        forget(old)
     raise NotConverged(f"not at rest after {max_rounds} rounds")
 
 
@@ -39,7 +41,9 @@ def seminaive(start: DataFrame, step: Callable[[DataFrame], DataFrame], max_roun
             return known
         found.append(new)
         if len(found) > 8:
-            found = [cut(known.union(new), "fix")]
+            # new itself stays: the next round starts from it.
+            old, found = found[:-1], [cut(known.union(new), "fix")]
+            forget(*old)
     raise NotConverged(f"not at rest after {max_rounds} rounds")
 
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from semiflow.inference import lens
 from semiflow.scratch import scratch
-from semiflow.streaming import fixpoint, incremental, live, structured, zset
+from semiflow.streaming import fixpoint, incremental, structured, zset
 
 C, O = "id long, tier string, _w long", "cid long, amt long, _w long"
 
@@ -20,10 +20,24 @@ def query(stages):
     return incremental.Query(stages, (F.col("id"), F.col("cid")))
 
 
+def values(df, *by):
+    return [r.value for r in df.orderBy(*by, "step").collect()]
+
+
 def test_running_revenue_and_count(deltas):
     gold = ("filter", F.col("l_tier") == "gold")
-    assert query([gold, ("sum", F.col("r_amt"))]).run(deltas) == [0, 100, 100, 130, 30]
-    assert query([("count",)]).run(deltas) == [0, 1, 2, 3, 2]
+    assert values(query([gold, ("sum", F.col("r_amt"))]).running(deltas)) == [0, 100, 100, 130, 30]
+    assert values(query([("count",)]).running(deltas)) == [0, 1, 2, 3, 2]
+    with pytest.raises(incremental.NotIncremental):
+        query([gold]).running(deltas)
+
+
+def test_state_is_consolidated_now_and_then(deltas, monkeypatch):
+    monkeypatch.setattr(incremental, "COMPACT", 1)
+    monkeypatch.setattr(structured, "COMPACT", 2)
+    assert values(query([("count",)]).running(deltas)) == [0, 1, 2, 3, 2]
+    stream, feed = structured.fed([structured.both_sides(l, r) for l, r in deltas])
+    assert values(incremental.running(structured.changes(query([("count",)]), stream, ["id", "tier"], ["cid", "amt"], feed))) == [0, 1, 2, 3, 2]
 
 
 def test_each_step_equals_recomputation(deltas):
@@ -34,13 +48,40 @@ def test_each_step_equals_recomputation(deltas):
         assert sorted(map(tuple, view.collect())) == sorted(map(tuple, zset.consolidate(q.batch(l, r)).collect()))
 
 
-def test_live_graph_fans_out(deltas):
-    join = live.join_node((F.col("id"), F.col("cid")))
-    gold, revenue, count = live.filter_node(F.col("l_tier") == "gold"), live.Total(F.col("r_amt")), live.Total(F.lit(1))
-    join.connect(gold, count)
-    gold.connect(revenue)
-    live.drive(join, deltas)
-    assert revenue.values == [0, 100, 100, 130, 30] and count.values == [0, 1, 2, 3, 2]
+def test_streams_fan_out(deltas):
+    gold = ("filter", F.col("l_tier") == "gold")
+    stream, feed = structured.fed([structured.both_sides(l, r) for l, r in deltas])
+    branches = {"a revenue": [gold, ("sum", F.col("r_amt"))], "b count": [("count",)]}
+    got = structured.fan_out(stream, branches, (F.col("id"), F.col("cid")), ["id", "tier"], ["cid", "amt"], feed)
+    assert values(got, "branch") == [0, 100, 100, 130, 30, 0, 1, 2, 3, 2]
+
+
+def test_a_join_needs_both_sides(spark, deltas):
+    stream, _ = structured.fed([deltas[0][0]])
+    with pytest.raises(incremental.NotIncremental):
+        structured.changes(query([("count",)]), stream)
+    with pytest.raises(incremental.NotIncremental):
+        structured.fan_out(stream, {"a": [("map", [F.col("id")])]})
+    with pytest.raises(incremental.NotIncremental):
+        structured.fan_out(deltas[0][0], {"a": [("count",)]})
+
+
+def test_foreign_stages_are_trusted(spark):
+    twice = F.pandas_udf(lambda x: 2 * x, "long")
+    q = incremental.Query([("foreign", "twice", [twice(F.col("x")).alias("y")]), ("sum", F.col("y"))])
+    assert q.notes == ["foreign twice: linear (trusted)", "sum: linear"]
+    assert values(q.running([(spark.createDataFrame([(i, 1)], "x long, _w long"),) for i in (3, 4)])) == [6, 14]
+
+
+def test_windows_drop_what_is_late(spark):
+    import datetime
+
+    at = lambda h, m=0: datetime.datetime(2024, 1, 1, h, m)
+    part = lambda *ts: spark.createDataFrame([(t,) for t in ts], "ts timestamp")
+    stream, feed = structured.fed([part(at(0), at(0, 30), at(5)), part(at(5, 10)), part(at(0, 45), at(6))])
+    w = structured.windowed(stream, "ts", "1 hour", "10 minutes", {"n": F.count("*")})
+    assert {r.start.hour: r.n for r in structured.latest(w, ["start"], feed).collect()} == {0: 2, 5: 2, 6: 1}
+    assert {r.start.hour: r.n for r in structured.windowed(part(at(0), at(0, 45)), "ts", "1 hour", "10 minutes", {"n": F.count("*")}).collect()} == {0: 2}
 
 
 def test_refuses_what_deltas_cannot_keep(spark):
@@ -48,8 +89,6 @@ def test_refuses_what_deltas_cannot_keep(spark):
         incremental.Query([("distinct",)])
     with pytest.raises(incremental.NotIncremental):
         incremental.Query([("sum", F.lit(1)), ("map", [])])
-    with pytest.raises(incremental.NotIncremental):
-        live.build([("fold",)])
     assert incremental.rebuild(10, 2, 100) == "incremental" and incremental.rebuild(60, 2, 100) == "batch"
     stream = spark.readStream.format("rate").load()
     assert incremental.mode(stream, spark.range(1)) == "stream"
@@ -58,9 +97,15 @@ def test_refuses_what_deltas_cannot_keep(spark):
 
 
 def test_slower_clock(spark):
-    ds = [spark.createDataFrame([(i, 1)], "x long, _w long") for i in range(5)]
-    assert [d.count() for d in incremental.every_nth(2, ds)] == [2, 2, 1]
-    assert incremental.per_batch(lambda d: d.first()[0], lambda a, b: a + b, 0, ds) == [0, 1, 3, 6, 10]
+    z = spark.createDataFrame([(i, "x", 1) for i in range(5)] + [(1, "y", 1), (0, "y", -1)], "step long, x string, _w long")
+    assert sorted(map(tuple, incremental.every_nth(2, z).collect())) == [(0, "x", 2), (1, "x", 2), (2, "x", 1)]
+    own = spark.createDataFrame([(0, 3), (1, 1), (2, 5)], "step long, value long")
+    assert values(incremental.per_batch(own, F.max)) == [3, 3, 5] and values(incremental.per_batch(own, F.sum)) == [3, 4, 9]
+
+
+def test_a_window_of_an_endless_stream(spark):
+    x = structured.take(structured.endless(spark, 7), 20)
+    assert sorted(r.value for r in x.collect()) == list(range(20))
 
 
 def test_fixpoints_on_a_cycle(spark):
@@ -78,9 +123,9 @@ def test_structured_streaming_replays(spark):
     for i, rows in enumerate([[("a", 1), ("b", 1)], [("a", 1)], [("b", -1)]]):
         spark.createDataFrame(rows, "k string, _w long").coalesce(1).write.mode("append").parquet(src)
     seen = {}
-    structured.run(incremental.Query([("count",)]), structured.deltas(spark, src, "k string, _w long"), scratch(spark, "state"), lambda df, n: seen.__setitem__(n, df.first()[0]))
+    structured.run(incremental.Query([("count",)]), structured.deltas(spark, src, "k string, _w long", 1), scratch(spark, "state"), lambda df, n: seen.__setitem__(n, df.first()[0]))
     assert sum(seen.values()) == 2 and len(seen) >= 3
-    chosen = structured.chosen_per_batch(structured.deltas(spark, src, "k string, _w long"), scratch(spark, "state"), lambda df: df.count() > 1, lambda df: df, lambda df: df, lambda df, n: df.count(), cutoff=2)
+    chosen = structured.chosen_per_batch(structured.deltas(spark, src, "k string, _w long", 1), scratch(spark, "state"), lambda df: df.count() > 1, lambda df: df, lambda df: df, lambda df, n: df.count(), cutoff=2)
     assert set(chosen) <= {"fast", "slow"}
 
 
