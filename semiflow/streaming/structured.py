@@ -172,11 +172,16 @@ def changes(query: Query, stream: DataFrame, left: list[str] = (), right: list[s
 
 
 def windowed(stream: DataFrame, time: str, width: str, late: str, aggs: dict[str, Column], keys: tuple[str, ...] = (), slide: str | None = None) -> DataFrame:
-    """Event-time windows of a stream, or of a table; of a stream, rows later than `late` are dropped by the watermark."""
+    """Event-time windows of a stream, or of a table; of a stream, rows later than `late` are dropped by the watermark.
+
+    Times without a zone are taken in the session's, as watermarks need instants, and windows get them back without one.
+    """
+    kind = dict(stream.dtypes)[time]
+    rows = stream.withColumn(time, F.col(time).cast("timestamp"))
+    rows = rows.withWatermark(time, late) if stream.isStreaming else rows
     w = F.window(time, width, slide) if slide else F.window(time, width)
-    rows = stream.withWatermark(time, late) if stream.isStreaming else stream
     grouped = rows.groupBy(w.alias("w"), *keys).agg(*[a.alias(n) for n, a in aggs.items()])
-    return grouped.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), *keys, *aggs)
+    return grouped.select(F.col("w.start").cast(kind).alias("start"), F.col("w.end").cast(kind).alias("end"), *keys, *aggs)
 
 
 def latest(windows: DataFrame, keys: list[str], feed: Iterable[None] = (None,)) -> DataFrame:
