@@ -2,10 +2,11 @@
 
 Shingles are five consecutive words (all words, where a text has fewer). Each distinct shingle is a Poisson process;
 each arrival falls on one of the signature's components, which keeps its earliest; a shingle stops once its arrivals
-come later than all components' earliest. However often a text repeats a shingle, its rate is one: so two signatures
-agree in a component with the Jaccard similarity of the sets of shingles, the measure that verifies a link. Bands of
-components give candidates, and a similarity of the sets (as 32-bit hashes) of 0.8 or more verifies a link. Classes are
-the components of the links.
+come later than all components' earliest. Two signatures agree in a component with the probability Jaccard similarity of
+the weighted shingles, which also verifies a link. By default each distinct shingle weighs one, which makes it the
+Jaccard similarity of the sets; with by_times a shingle weighs as often as the text repeats it. Bands of components give
+candidates, and a similarity (of shingles as 32-bit hashes) of 0.8 or more verifies a link. Classes are the components of
+the links.
 
 Texts with equal shingle sets are one class from the start and go on as one. In a bucket each is compared with the
 bucket's leader, not with every other; then each pair of members of classes that are still apart is compared, if bounds
@@ -27,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from semiflow.llm.common import among, cut, folded_bytes, mixed, not_among, small_batches
+from semiflow.scratch import forget
 
 WORDS, LEAST, BANDS, ROWS = 5, 0.8, 30, 5
 #: Standard deviations by which an estimate from signatures may fall short of `least`: a link is lost once in 3 million.
@@ -111,18 +113,22 @@ def probminhash(ids: np.ndarray, weight: np.ndarray, doc: np.ndarray, docs: int,
     return sig.reshape(docs, m)
 
 
-def sketches(texts: list[str], powers: Powers, bands: int, rows: int) -> tuple[np.ndarray, ...]:
-    """For each text with words: its place, two fingerprints of its shingle set, its signature in 16 bits each, band keys."""
-    each = [np.unique(shingle_hashes(t, powers)) if t else np.zeros(0, np.uint64) for t in texts]
+def sketches(texts: list[str], powers: Powers, bands: int, rows: int, by_times: bool = False) -> tuple[np.ndarray, ...]:
+    """For each text with words: its place, two fingerprints of its weighted shingles, its signature in 16 bits each, band keys."""
+    counted = [np.unique(shingle_hashes(t or "", powers), return_counts=True) for t in texts]
+    each = [s for s, _ in counted]
     at = np.array([i for i, s in enumerate(each) if len(s)], np.int64)
     if not len(at):
         return at, at, at, np.zeros((0, bands * rows), np.int16), np.zeros((0, bands), np.int64)
     n = np.array([len(each[i]) for i in at])
     ids = np.concatenate([each[i] for i in at])
-    weight = np.ones(len(ids))  # equal weights: components agree as often as the sets that verified() compares are alike
+    times = np.concatenate([counted[i][1] for i in at])
+    # The measure that verified() compares: weights of one, or times.
+    weight = times.astype(float) if by_times else np.ones(len(ids))
+    marked = mixed(ids + times.astype(np.uint64) * GOLD) if by_times else ids
     doc = np.repeat(np.arange(len(at)), n)
     start = np.concatenate([[0], np.cumsum(n)[:-1]])
-    one, two = (np.add.reduceat(mixed(ids ^ np.uint64(c)), start).view(np.int64) for c in (0x1234567, 0x7654321))
+    one, two = (np.add.reduceat(mixed(marked ^ np.uint64(c)), start).view(np.int64) for c in (0x1234567, 0x7654321))
     sig = probminhash(ids, weight, doc, len(at), bands * rows).reshape(len(at), bands, rows)
     key = np.zeros((len(at), bands), np.uint64)
     for r in range(rows):
@@ -132,7 +138,7 @@ def sketches(texts: list[str], powers: Powers, bands: int, rows: int) -> tuple[n
     return at, one, two, short, key
 
 
-def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, by_times: bool = False) -> DataFrame:
     """(doc_id, one, two, keys, sig) of each row; all but the first are null where a text has no words."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -140,7 +146,7 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFra
         for b in batches:
             for lo in range(0, len(b), 100):
                 x = b.iloc[lo : lo + 100]
-                at, one, two, sig, key = sketches(list(x.text), powers, bands, rows)
+                at, one, two, sig, key = sketches(list(x.text), powers, bands, rows, by_times)
                 out = pd.DataFrame({"doc_id": x.doc_id.values, "one": pd.array([None] * len(x), "Int64"), "two": pd.array([None] * len(x), "Int64"), "keys": None})
                 out.loc[at, "one"], out.loc[at, "two"] = one, two
                 keys, sigs = np.empty(len(x), object), np.empty(len(x), object)
@@ -150,26 +156,60 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFra
     return small_batches(docs).select("doc_id", "text").mapInPandas(run, "doc_id long, one long, two long, keys array<long>, sig array<smallint>")
 
 
-def shingle_sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, shingles): the distinct shingles of each text as 32-bit hashes."""
+def shingle_sets(docs: DataFrame, by_times: bool = False) -> DataFrame:
+    """(doc_id, shingles): the distinct shingles of each text as 32-bit hashes; with by_times also `times`, how often each comes."""
+
+    def counted(t: str | None, powers: Powers) -> tuple[np.ndarray, np.ndarray]:
+        return np.unique((shingle_hashes(t or "", powers) >> np.uint64(32)).astype(np.uint32), return_counts=True)
 
     @F.pandas_udf("array<int>")
     def of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         powers = Powers()
         for x in texts:
-            yield pd.Series([np.unique((shingle_hashes(t or "", powers) >> np.uint64(32)).astype(np.uint32)).view(np.int32) for t in x])
+            yield pd.Series([counted(t, powers)[0].view(np.int32) for t in x])
+
+    @F.pandas_udf("shingles array<int>, times array<int>")
+    def weighted(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        powers = Powers()
+        for x in texts:
+            got = [counted(t, powers) for t in x]
+            yield pd.DataFrame({"shingles": [s.view(np.int32) for s, _ in got], "times": [n.astype(np.int32) for _, n in got]})
 
+    if by_times:
+        return small_batches(docs).select("doc_id", weighted(F.col("text")).alias("s")).select("doc_id", "s.shingles", "s.times")
     return small_batches(docs).select("doc_id", of(F.col("text")).alias("shingles"))
 
 
+def probability_jaccard(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) -> float:
+    """The sum over common elements i of 1 / (the sum over all j of max(x_j / x_i, y_j / y_i)), for the weights x and y."""
+    every = np.union1d(a, b)
+    x, y = np.zeros(len(every)), np.zeros(len(every))
+    x[np.searchsorted(every, a)], y[np.searchsorted(every, b)] = wa, wb
+    ratio = np.divide(x, y, out=np.full(len(every), np.inf), where=y > 0)
+    order = np.argsort(ratio)
+    x, y, ratio = x[order], y[order], ratio[order]
+    # From the first j whose ratio is at least that of i on, x_j / x_i is the greater.
+    above, below = np.append(np.cumsum(x[::-1])[::-1], 0), np.append(0, np.cumsum(y))
+    own = np.flatnonzero((x > 0) & (y > 0))
+    at = np.searchsorted(ratio, ratio[own])
+    return float((1 / (above[at] / x[own] + below[at] / y[own])).sum())
+
+
 def verified(pairs: DataFrame, sets: DataFrame, least: float, per_copy: int = 200) -> DataFrame:
-    """The pairs (a, b) whose sets' Jaccard similarity is at least `least`. A b with many pairs is copied for each per_copy of them."""
+    """The pairs (a, b) whose sets' Jaccard similarity, or probability Jaccard where sets have times, is at least `least`. A b with many pairs is copied for each per_copy of them."""
     heavy = pairs.groupBy("b").agg((F.floor(F.count("*") / per_copy) + 1).cast("int").alias("copies"))
     right = sets.withColumnRenamed("doc_id", "b").withColumnRenamed("shingles", "sb").join(heavy, "b")
     right = right.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("copies")
     left = pairs.join(heavy, "b").withColumn("salt", F.pmod(F.xxhash64("a"), F.col("copies").cast("long")).cast("int")).drop("copies")
-    left = left.join(sets.withColumnRenamed("doc_id", "a").withColumnRenamed("shingles", "sa"), "a")
-    x = left.join(right, ["b", "salt"])
+    left = left.join(sets.withColumnRenamed("doc_id", "a").withColumnRenamed("shingles", "sa").withColumnRenamed("times", "ta"), "a")
+    x = left.join(right.withColumnRenamed("times", "tb"), ["b", "salt"])
+    if "times" in sets.columns:
+
+        @F.pandas_udf("boolean")
+        def alike(sa: pd.Series, ta: pd.Series, sb: pd.Series, tb: pd.Series) -> pd.Series:
+            return pd.Series([probability_jaccard(*p) >= least - 1e-9 for p in zip(sa, ta, sb, tb)], dtype=bool)
+
+        return x.filter(alike("sa", "ta", "sb", "tb")).select("a", "b")
     small, large = F.least(F.size("sa"), F.size("sb")), F.greatest(F.size("sa"), F.size("sb"))
     x = x.filter(small >= large * least - 1e-9).withColumn("both", F.size(F.array_intersect("sa", "sb")))
     return x.filter(F.col("both") >= F.lit(least) * (F.size("sa") + F.size("sb") - F.col("both")) - 1e-9).select("a", "b")
@@ -189,10 +229,13 @@ def components(edges: DataFrame) -> DataFrame:
         seen = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         step = labels.join(seen, "node").select("node", "label", F.least("label", "near").alias("low"))
         jump = labels.select(F.col("node").alias("low"), F.col("label").alias("root"))
+        old = labels
         new = packed(step.join(jump, "low").select("node", F.least("low", "root").alias("label"), (F.least("low", "root") < F.col("label")).alias("moved")), n, "labels")
-        labels = new.select("node", "label")
+        forget(old)
         if new.filter("moved").isEmpty():
-            return labels
+            return new.select("node", "label")
+        labels = new.select("node", "label")
+        labels._cut_at = new._cut_at
 
 
 def apart(members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -210,36 +253,41 @@ def rivals(left: DataFrame, sets: DataFrame, sigs: DataFrame, least: float) -> D
     the bound are left out, and no link is lost. So are pairs whose signatures agree in too few components, SHORT
     standard deviations fewer than those of a pair at `least` do.
     """
+    many = F.size("a.sig")
+    agree = F.size(F.filter(F.zip_with("a.sig", "b.sig", lambda x, y: x == y), lambda e: e))
+    alike = agree >= many * least - SHORT * F.sqrt(many * least * (1 - least))
+    # Once for each pair: in the first of the bands that both are in.
+    once = F.col("a.band") == F.array_min(F.array_intersect("a.keys", "b.keys"))
+    marks = among(sigs.select("doc_id", "keys", "sig"), cut(left.select("doc_id").distinct(), "ids"), "doc_id")
+    if "times" in sets.columns:  # the bound is one on sets
+        x = cut(left.join(marks, "doc_id"), "rivals")
+        a, b = x.alias("a"), x.alias("b")
+        pairs = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.class") < F.col("b.class")) & alike & once)
+        return pairs.select(F.greatest("a.doc_id", "b.doc_id").alias("a"), F.least("a.doc_id", "b.doc_id").alias("b"))
     own = sets.join(left.select("doc_id", "class").distinct(), "doc_id")
     each = own.select("doc_id", "class", F.explode("shingles").alias("s"))
     common = each.groupBy("s").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo < hi").select("s")
     shared = each.join(common, "s").groupBy("doc_id").agg(F.count("*").alias("shared"))
     size = own.select("doc_id", F.size("shingles").alias("n")).join(shared, "doc_id")
-    marks = among(sigs.select("doc_id", "keys", "sig"), cut(left.select("doc_id").distinct(), "ids"), "doc_id")
     x = cut(left.join(size.filter(F.col("shared") >= F.col("n") * least - 1e-9).join(marks, "doc_id"), "doc_id"), "rivals")
     a, b = x.alias("a"), x.alias("b")
     m = F.least("a.shared", "b.shared")
     near = m * (1 + least) >= (F.col("a.n") + F.col("b.n")) * least - 1e-6
-    many = F.size("a.sig")
-    agree = F.size(F.filter(F.zip_with("a.sig", "b.sig", lambda x, y: x == y), lambda e: e))
-    alike = agree >= many * least - SHORT * F.sqrt(many * least * (1 - least))
-    # Once for each pair: in the first of the bands that both are in.
-    once = F.col("a.band") == F.array_min(F.array_intersect("a.keys", "b.keys"))
     pairs = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.class") < F.col("b.class")) & near & alike & once)
     return pairs.select(F.greatest("a.doc_id", "b.doc_id").alias("a"), F.least("a.doc_id", "b.doc_id").alias("b"))
 
 
-def classes(docs: DataFrame, least: float = LEAST, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def classes(docs: DataFrame, least: float = LEAST, bands: int = BANDS, rows: int = ROWS, by_times: bool = False) -> DataFrame:
     """(doc_id, class_id), a row for each doc_id (and each row with none): class_id is the least doc_id of its class."""
     docs = one_row_each(docs.select("doc_id", "text"))
-    sigs = cut(signatures(docs, bands, rows), "signatures")
+    sigs = cut(signatures(docs, bands, rows, by_times), "signatures")
     known = sigs.filter(F.col("doc_id").isNotNull())
     same = cut(known.filter("one is not null").groupBy("one", "two").agg(F.min("doc_id").alias("rep")), "same")
     reps = known.select("doc_id", "keys").join(same.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", F.explode("keys").alias("band"))
     led = reps.groupBy("band").agg(F.min("doc_id").alias("leader"), F.count("*").alias("n")).filter("n > 1").drop("n")
     members = cut(reps.join(led, "band"), "members")
     texts = among(docs.select("doc_id", "text"), cut(members.select("doc_id").distinct(), "ids"), "doc_id")
-    sets = cut(shingle_sets(texts), "sets")
+    sets = cut(shingle_sets(texts, by_times), "sets")
 
     # Each member with its bucket's first.
     pairs = members.filter("doc_id <> leader").select(F.col("doc_id").alias("a"), F.col("leader").alias("b")).distinct()
@@ -267,9 +315,9 @@ def one_row_each(docs: DataFrame) -> DataFrame:
     return kept.union(docs.filter(F.col("doc_id").isNull()))
 
 
-def deduplicated(docs: DataFrame, least: float = LEAST) -> DataFrame:
+def deduplicated(docs: DataFrame, least: float = LEAST, by_times: bool = False) -> DataFrame:
     """One document of each class, the one with the least doc_id; rows without doc_id stay. Of rows with one doc_id that of the least text stays."""
     docs = one_row_each(docs)
-    found = cut(classes(docs, least), "classes")
+    found = cut(classes(docs, least, by_times=by_times), "classes")
     drop = cut(found.filter("class_id <> doc_id").select("doc_id"), "copies")
     return not_among(docs, drop, "doc_id")

@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
@@ -118,6 +119,50 @@ def test_signatures_estimate_probability_jaccard():
     assert abs((sig[0] == sig[1]).mean() - true) < 0.03
 
 
+def times_of(t):
+    w, n = folded(t or "").split(), neardup.WORDS
+    return Counter(tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))) if w else Counter()
+
+
+def probability(x, y):
+    every = x.keys() | y.keys()
+    return sum(1 / sum(max(x[e] / x[d], y[e] / y[d]) for e in every) for d in x.keys() & y.keys())
+
+
+def test_probability_jaccard_matches_the_formula():
+    r = random.Random(8)
+    for _ in range(40):
+        x, y = (Counter({k: r.randint(1, 5) for k in r.sample(range(20), r.randint(1, 12))}) for _ in range(2))
+        arrays = [np.array(v) for z in (x, y) for v in (sorted(z), [z[k] for k in sorted(z)])]
+        assert abs(neardup.probability_jaccard(*arrays) - probability(x, y)) < 1e-9
+
+
+def test_shingles_weighed_by_times_match_brute_force(spark):
+    r = random.Random(9)
+    rows = []
+    for i in range(30):
+        base = [f"p{i}w{k}" for k in range(40)]
+        line = [f"p{i}x{k}" for k in range(6)]
+        rows += [base + line * 10, base + line * r.choice([8, 10, 12, 60])]
+    rows = [(i, " ".join(w)) for i, w in enumerate(rows)]
+    got = {x.doc_id: x.class_id for x in neardup.classes(spark.createDataFrame(rows, "doc_id long, text string"), by_times=True).collect()}
+    want = {i: i for i, _ in rows}
+    for i in range(0, 60, 2):
+        if probability(times_of(rows[i][1]), times_of(rows[i + 1][1])) >= 0.8:
+            want[i + 1] = i
+    assert got == want and 5 < sum(a != b for a, b in want.items()) < 30
+
+
+def test_a_very_long_text(spark):
+    long = " ".join(f"w{i % 50_021}" for i in range(150_000))
+    rows = [(1, long), (2, long + " end"), (3, "x" * 500_000), (4, "x" * 500_000 + " y")]
+    got = {x.doc_id: x.class_id for x in neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4}
+    p = neardup.Powers()
+    words = folded(long).split()
+    assert len(neardup.shingle_hashes(long, p)) == len(words) - 4 and len(p.up) < 4 * neardup.CHUNK
+
+
 def test_shingle_hashes_follow_words():
     p = neardup.Powers()
     a = neardup.shingle_hashes("The cat, sat on THE mat again", p)
