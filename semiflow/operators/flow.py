@@ -273,6 +273,35 @@ class Flow:
 
         return x.mapInPandas(run, schema)
 
+    def fold_composed(self, rows: Callable, compose: Callable, apply: Callable, init, value: str, schema: str) -> DataFrame:
+        """A left fold whose steps compose: ranges of rows are folded to one function each, in parallel, and those are applied in order.
+
+        rows makes the function of a list of values (in order), compose that of two functions, the first applied first,
+        and apply takes a function and a state. Functions are tuples with the given schema: a row for each range.
+        """
+        x = self.indexed()
+        y, _ = x._ranges()
+        names = [c.split()[0] for c in schema.split(",")]
+
+        def run(batches):
+            import pandas as pd
+
+            out = []
+            for b in batches:
+                for g, own in b.groupby("__g", sort=False):
+                    f = rows(own[value].tolist())
+                    if out and out[-1][0] == g:
+                        out[-1] = (g, compose(out[-1][1], f))
+                    else:
+                        out.append((g, f))
+            yield pd.DataFrame([(g, *f) for g, f in out], columns=["__g", *names])
+
+        dealt = y.select("__g", POS, value).repartition("__g").sortWithinPartitions("__g", POS)
+        acc = init
+        for r in sorted(dealt.mapInPandas(run, f"__g long, {schema}").collect()):  # a row for each range
+            acc = apply(tuple(r)[1:], acc)
+        return self.df.sparkSession.createDataFrame([(acc,)], "value long")
+
     def apply(self, op: str, column: str) -> DataFrame:
         """+, * or max over a column, with the identities 0, 1 and 0. Products of whole numbers are exact, up to 38 digits."""
         if op == "+":

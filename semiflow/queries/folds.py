@@ -31,6 +31,23 @@ def a1_ordered_fold(spark, d):
     return Flow(table(spark, d, "nation"), ("n_nationkey",)).fold_ordered(lambda a, v: (3 * a + int(v)) % 1000003, 1, "n_nationkey")
 
 
+@query("""WITH RECURSIVE x AS (SELECT c_custkey AS v, row_number() OVER (ORDER BY c_custkey) AS i FROM customer),
+h AS (SELECT CAST(0 AS BIGINT) AS i, CAST(1 AS BIGINT) AS value UNION ALL SELECT h.i + 1, (3 * h.value + x.v) % 1000003 FROM h JOIN x ON x.i = h.i + 1)
+SELECT value FROM h WHERE i = (SELECT max(i) FROM h)""")
+def a1_composed_fold(spark, d):
+    """The fold acc -> 3 * acc + v modulo m over a table of any size: its steps are affine, and such functions compose."""
+    m = 1_000_003
+
+    def rows(values):
+        a, b = 1, 0
+        for v in values:
+            a, b = 3 * a % m, (3 * b + int(v)) % m
+        return a, b
+
+    compose = lambda f, g: (f[0] * g[0] % m, (g[0] * f[1] + g[1]) % m)
+    return Flow(table(spark, d, "customer"), ("c_custkey",)).fold_composed(rows, compose, lambda f, acc: (f[0] * acc + f[1]) % m, 1, "c_custkey", "a long, b long")
+
+
 @query(f"SELECT CAST(7 + sum({QTY}) AS BIGINT) AS value FROM lineitem")
 def a3_parallel_fold(spark, d):
     return monoids.fold(lines(spark, d).df, monoids.PLUS, qty(), 7)

@@ -165,3 +165,13 @@ def v2_types(spark, d):
 def v3_round_trip(spark, d):
     back = values.to_json(values.value(F.col("j")))
     return doc(spark, d).select("o_orderkey", F.get_json_object(back, "$.cust").cast("long").alias("cust"))
+
+
+@query("SELECT CAST(0 AS BIGINT) AS broken, true AS found")
+def f17_checked(spark, d):
+    """A claim that holds of all generated rows, and one that doesn't."""
+    shape = "cid LONG NOT NULL, amount LONG NOT NULL"
+    capped = lambda df: df.select("cid", "amount", F.least("amount", F.lit(50)).alias("capped"))
+    ok = records.counterexamples(spark, shape, capped, (F.col("capped") <= 50) & (F.col("capped") <= F.col("amount")), low={"amount": 0})
+    no = records.counterexamples(spark, shape, capped, F.col("capped") == F.col("amount"), low={"amount": 0})
+    return ok.agg(F.count("*").alias("broken")).crossJoin(no.agg((F.count("*") > 0).alias("found")))

@@ -69,3 +69,45 @@ def test_a_cluster_must_name_its_shared_folder():
 
     with pytest.raises(RuntimeError):
         scratch.shared_dir(Cluster())
+
+
+def test_generated_rows_follow_their_schema(spark):
+    from semiflow.operators import records
+
+    shape = "id LONG NOT NULL, n INT, name STRING, who STRUCT<ok: BOOLEAN, x: DOUBLE> NOT NULL"
+    x = records.generated(spark, shape, 500, low={"id": 5})
+    assert x.columns == ["id", "n", "name", "who"] and x.count() == 500
+    r = x.agg(F.min("id").alias("low"), F.count("n").alias("n"), F.min("n").alias("least"), F.countDistinct("name").alias("names"), F.count("who.x").alias("x")).first()
+    assert r.low >= 5 and 300 < r.n < 500 and r.least < 0 and r.names > 50 and 300 < r.x < 500
+    assert sorted(map(str, x.collect())) == sorted(map(str, records.generated(spark, shape, 500, low={"id": 5}).collect()))
+    with pytest.raises(ValueError):
+        records.generated(spark, "a ARRAY<INT>")
+
+
+def test_composed_folds_equal_folds_in_order(spark):
+    r = random.Random(2)
+    values = [r.randrange(100) for _ in range(3000)]
+    x = Flow(spark.createDataFrame(list(enumerate(values)), "k long, v long"), ("k",))
+    acc = 5
+    for v in values:
+        acc = (7 * acc + v) % 10_007
+
+    def rows(own):
+        a, b = 1, 0
+        for v in own:
+            a, b = 7 * a % 10_007, (7 * b + v) % 10_007
+        return a, b
+
+    compose = lambda f, g: (f[0] * g[0] % 10_007, (g[0] * f[1] + g[1]) % 10_007)
+    assert x.fold_composed(rows, compose, lambda f, s: (f[0] * s + f[1]) % 10_007, 5, "v", "a long, b long").first()[0] == acc
+    assert x.filter(F.lit(False)).fold_composed(rows, compose, lambda f, s: s, 5, "v", "a long, b long").first()[0] == 5
+
+
+def test_some_of_independent_alternatives(spark):
+    from semiflow.inference import wmc
+
+    df = spark.createDataFrame([(1, 0.5), (1, 0.5), (2, 1.0), (2, 0.25), (3, None), (4, 0.0)], "k long, p double")
+    got = {x.k: x.p for x in wmc.some_of(df, ["k"], "p").collect()}
+    assert abs(got[1] - 0.75) < 1e-12 and got[2] == 1.0 and got[3] == 0.0 and got[4] == 0.0
+    many = frozenset(frozenset([f"f{i}"]) for i in range(500))
+    assert abs(wmc.count(many, dict.fromkeys((f"f{i}" for i in range(500)), 0.01)) - (1 - 0.99**500)) < 1e-9
