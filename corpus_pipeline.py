@@ -1,8 +1,13 @@
 """The corpus pipeline: toxic documents go, one document of each near-duplicate class stays, documents that hold test
 items go, personal data is marked out, and sources are mixed to their weights.
 
-Each stage works on all that its predecessor kept. The last one returns a row for each document that the mix takes,
-with `copies`, the times that it is taken.
+Each stage works on all that its predecessor kept, and returns the columns of documents; other columns are carried on,
+whatever their names. The last one returns a row for each document that the mix takes, with `copies`, the times that it is
+taken; a column of that name goes on as copies_in.
+
+Null and empty texts aren't toxic, alike, contaminated or private: they stay, with size 0, which the mix takes or leaves
+by hash. Documents without doc_id are no one's near duplicates; of rows with one doc_id that with the least text stays.
+Texts may have any length. Without labels of both classes nothing is toxic; without documents nothing comes out.
 """
 
 from __future__ import annotations
