@@ -111,7 +111,17 @@ def i8_incremental_views(spark, d):
     return incremental.Query(building(), keys()).running(parts(spark, d))
 
 
-@query("SELECT CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS value FROM customer JOIN orders ON c_custkey = o_custkey WHERE c_mktsegment = 'BUILDING'")
+FINAL = "SELECT CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS value FROM customer JOIN orders ON c_custkey = o_custkey WHERE c_mktsegment = 'BUILDING'"
+
+
+@query(FINAL)
+def i8_incremental_final_view(spark, d):
+    """The revenue after the last delta: what all deltas' changes add up to."""
+    changes = incremental.Query(building(), keys()).changes(parts(spark, d))
+    return changes.agg(F.sum("value").alias("value"))
+
+
+@query(FINAL)
 def i9_incremental_batch(spark, d):
     x = parts(spark, d)
     l, r = x[0][0], x[0][1]
