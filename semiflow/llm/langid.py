@@ -30,7 +30,7 @@ LONGEST = 24
 MARK = "▁"
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 #: Words whose sums a worker keeps.
-KEPT = 60_000
+KEPT = 150_000
 
 
 def words_of(text: str) -> list[str]:
@@ -195,7 +195,7 @@ def predictor(model: Model):
     def predict(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         score = model.scorer()
         for x in texts:
-            got = [y for lo in range(0, len(x), 100) for y in score(list(x.iloc[lo : lo + 100]))]
+            got = [y for lo in range(0, len(x), 500) for y in score(list(x.iloc[lo : lo + 500]))]
             yield pd.DataFrame(got, columns=["lang_pred", "score"])
 
     return predict
